@@ -102,7 +102,7 @@ def _bits(table: pa.Table, kind: int, shard: np.ndarray) -> np.ndarray:
 
 def _cells(shard: np.ndarray, bucket: int, payload) -> pa.Table:
     cuts = np.flatnonzero(np.diff(shard, prepend=-1))
-    ends = np.append(cuts[1:], len(shard))
+    ends = np.append(cuts, len(shard))[1:]
     rows = [(int(shard[a]), bucket, int(b - a), payload(a, b)) for a, b in zip(cuts, ends, strict=True)]
     cols = list(zip(*rows, strict=True)) or [[], [], [], []]
     return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["shard", "bucket", "n", "payload"])
