@@ -5,8 +5,9 @@ from __future__ import annotations
 from seqloom.llm import exact
 from seqloom.llm.exact import op6_exact_dedup
 from seqloom.llm.langid import op1_language_id
+from seqloom.llm.minhash import op4_minhash_dedup
 from seqloom.llm.packing import op7_best_fit_packing
 from seqloom.llm.substring import op5_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op5_substring_dedup, op6_exact_dedup, op7_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op4_minhash_dedup, op5_substring_dedup, op6_exact_dedup, op7_best_fit_packing)}
 ORACLES: dict[str, str] = {"op6_exact_dedup": exact.OP6_SQL}
