@@ -7,8 +7,10 @@ from seqloom.llm.exact import op6_exact_dedup
 from seqloom.llm.langid import op1_language_id
 from seqloom.llm.minhash import op4_minhash_dedup
 from seqloom.llm.packing import op7_best_fit_packing
+from seqloom.llm.pii import op9_pii
 from seqloom.llm.quality import op3_quality_rules
+from seqloom.llm.secrets import op10_secret_scan
 from seqloom.llm.substring import op5_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_quality_rules, op4_minhash_dedup, op5_substring_dedup, op6_exact_dedup, op7_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_quality_rules, op4_minhash_dedup, op5_substring_dedup, op6_exact_dedup, op7_best_fit_packing, op9_pii, op10_secret_scan)}
 ORACLES: dict[str, str] = {"op6_exact_dedup": exact.OP6_SQL}
