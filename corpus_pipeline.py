@@ -3,8 +3,21 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
-STAGES = []
+from seqloom.llm import exact, minhash, mixing, packing, quality
+from seqloom.session import shared_folder
+
+#: Nine tenths of what the earlier stages keep, each document once at most.
+MIXTURE = replace(mixing.PRODUCTION, ratio=0.9, max_epochs=1)
+
+STAGES = [
+    ("quality rules", lambda spark, docs, sf_dir: quality.keep_good(docs)),
+    ("exact dedup", lambda spark, docs, sf_dir: exact.drop_exact(docs)),
+    ("near dedup", lambda spark, docs, sf_dir: minhash.drop_near(docs)),
+    ("source mixing", lambda spark, docs, sf_dir: mixing.take(docs, MIXTURE)),
+    ("best-fit packing", lambda spark, docs, sf_dir: packing.pack_documents(docs)),
+]
 
 #: Near-duplicate classes and token ids can't be expressed in SQL; tests/llm hold run() against a brute-force version instead.
 ORACLE_SQL = None
@@ -12,8 +25,6 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """The rows of the last stage."""
-    from seqloom.session import shared_folder
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
