@@ -18,6 +18,7 @@ def get_session(app: str = "seqloom", cores: str = "*", partitions: int = 8, dri
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", driver_memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
