@@ -123,6 +123,13 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
         width *= 2
 
 
-def drop_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in dropped.doc_id, with their columns. A null doc_id stays."""
-    return docs.join(dropped.select(F.col("doc_id").alias("_dropped")), docs["doc_id"] == F.col("_dropped"), "left_anti")
+def boxed(docs: DataFrame) -> DataFrame:
+    """_row (a struct of all columns of docs), doc_id (long) and text (string): names of other columns can't clash with an operator's own."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def unboxed(rows: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of _row, with those in changed replaced, or added after them."""
+    names = rows.schema["_row"].dataType.names
+    own = [changed[c].alias(c) if c in changed else F.col("_row").getField(c).alias(c) for c in names]
+    return rows.select(*own, *(v.alias(k) for k, v in changed.items() if k not in names))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import documents, one_space
+from seqloom.llm.common import boxed, documents, one_space, unboxed
 from seqloom.session import checkpointed
 
 
@@ -65,15 +65,13 @@ def drop_exact(docs: DataFrame, counters: int = 1024) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     decided = checkpointed(decide(docs, counters).where(~F.col("kept")).select("doc_id", "raw", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("twin")))
     dropped = decided.where(~F.col("twin")).select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw"))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_raw"))
-    rest = docs.join(dropped, same, "left_anti")
+    same_id = F.col("doc_id").eqNullSafe(F.col("_id"))
+    rest = boxed(docs).join(dropped, same_id & F.xxhash64("text").eqNullSafe(F.col("_raw")), "left_anti")
     twins = decided.where("twin").select(F.col("doc_id").alias("_id")).distinct()
-    if twins.limit(1).count() == 0:
-        return rest
-    # rows that repeat an id with an equal text: one of each stays
-    alone = rest.join(twins, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
-    repeated = rest.join(twins, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").withColumn("_digest", F.sha2(one_space(F.col("text")).cast("binary"), 256))
-    return alone.unionByName(repeated.dropDuplicates(["doc_id", "_digest"]).drop("_digest"))
+    if twins.limit(1).count():  # rows that repeat an id with an equal text: one of each stays
+        repeated = rest.join(twins, same_id, "left_semi").withColumn("_digest", F.sha2(one_space(F.col("text")).cast("binary"), 256))
+        rest = rest.join(twins, same_id, "left_anti").unionByName(repeated.dropDuplicates(["doc_id", "_digest"]).drop("_digest"))
+    return unboxed(rest)
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import SPACE, WORD, documents
+from seqloom.llm.common import SPACE, boxed, documents, unboxed
 
 _SIZE = 3
 
@@ -41,17 +41,17 @@ def remove_repeated_lines(docs: DataFrame, salts: int = 8) -> DataFrame:
     text has no lines and stays null; a row with null doc_id neither loses lines nor covers others'.
     """
     own = covered_lines(docs, salts).select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw"), "covered")
-    df = docs.join(own, (docs["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_raw")), "left")
+    df = boxed(docs).join(own, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_raw")), "left")
     kept = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), (i + 1).alias("at"))), lambda s: ~F.array_contains("covered", s["at"]))
     text = F.when(F.col("covered").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
-    n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
-    n_lines = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines)
-    return df.withColumns({"n_lines": n_lines, "n_removed": F.coalesce(F.size("covered"), F.lit(0)).cast("long"), "text": text}).drop("_id", "_raw", "covered")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    n_removed = F.when(F.col("covered").isNull(), 0).otherwise(F.size("covered"))
+    return unboxed(df, text=text, n_lines=n_lines.cast("long"), n_removed=n_removed.cast("long"))
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
     found = remove_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
-    return found.select("doc_id", "n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_removed")).cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 OP2_SQL = rf"""

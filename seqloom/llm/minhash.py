@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import documents, mix64, pieces, rolling, text_buffers, word_hashes
+from seqloom.llm.common import boxed, documents, mix64, pieces, rolling, text_buffers, unboxed, word_hashes
 from seqloom.llm.components import connected_components
 from seqloom.session import checkpointed
 
@@ -192,12 +192,12 @@ def drop_near(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs whose document is the smallest of its class, with all their columns; of rows with the same doc_id one stays."""
     found = checkpointed(near_duplicates(docs, **options))
     dropped = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_id")).distinct()
-    rest = docs.join(dropped.hint("shuffle_hash"), docs["doc_id"] == F.col("_id"), "left_anti")
+    same = F.col("doc_id") == F.col("_id")
+    rest = boxed(docs).join(dropped.hint("shuffle_hash"), same, "left_anti")
     twins = checkpointed(found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")))
-    if twins.limit(1).count() == 0:
-        return rest
-    alone = rest.join(twins, rest["doc_id"] == F.col("_id"), "left_anti")
-    return alone.unionByName(rest.join(twins, rest["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]))
+    if twins.limit(1).count():
+        rest = rest.join(twins, same, "left_anti").unionByName(rest.join(twins, same, "left_semi").dropDuplicates(["doc_id"]))
+    return unboxed(rest)
 
 
 def op4_minhash_dedup(spark, sf_dir: str) -> DataFrame:

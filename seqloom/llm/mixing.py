@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import documents, words
+from seqloom.llm.common import boxed, documents, unboxed, words
 from seqloom.session import checkpointed
 
 _SLICES = 4096
@@ -103,7 +103,7 @@ def _slice() -> Column:
 def plan(docs: DataFrame, mixture: Mixture) -> tuple[DataFrame, DataFrame]:
     """The rows without texts, with tokens (words) and their leaf's plan and place; and the leaves with their plan: _full epochs, then the slices
     before _edge, and of that slice what fits _rest."""
-    rows = docs.withColumns({**_leaf(mixture), "_raw": F.xxhash64(F.col("text").cast("string")), "tokens": F.size(words(F.col("text").cast("string"))).cast("long")})
+    rows = docs.select("doc_id", "text", "lang", "source").withColumns({**_leaf(mixture), "_raw": F.xxhash64(F.col("text").cast("string")), "tokens": F.size(words(F.col("text").cast("string"))).cast("long")})
     rows = checkpointed(rows.select("doc_id", "_raw", "_domain", "_lang", "_source", "tokens"))
     keys = ["_domain", "_lang", "_source"]
     found = rows.groupBy(*keys).agg(F.sum("tokens").alias("supply")).limit(mixture.max_leaves + 1).collect()
@@ -148,15 +148,15 @@ def take(docs: DataFrame, mixture: Mixture = PRODUCTION) -> DataFrame:
     placed, leaves = plan(docs, mixture)
     decided = checkpointed(_copies(placed, mixture).where(F.col("_slice") == F.col("_edge")).select(F.col("doc_id").alias("_id"), F.col("_raw").alias("_r"), "copies").distinct())
     keys = ["_domain", "_lang", "_source"]
-    names = docs.columns
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), "doc_id", F.xxhash64(F.col("text").cast("string")).alias("_raw"), *(c.alias(k) for k, c in _leaf(mixture).items()))
+    rows = boxed(docs).select("_row", "doc_id", "text", F.col("_row.lang").alias("lang"), F.col("_row.source").alias("source"))
+    rows = rows.select("_row", "doc_id", F.xxhash64("text").alias("_raw"), *(c.alias(k) for k, c in _leaf(mixture).items()))
     rows = rows.join(F.broadcast(leaves.select(*keys, "_full", "_edge")), keys).withColumn("_h", _order(mixture)).withColumn("_slice", _slice())
     inner = rows.where(F.col("_slice") != F.col("_edge")).withColumn("copies", F.least(F.col("_full") + (F.col("_slice") < F.col("_edge")).cast("int"), F.lit(mixture.max_epochs)))
     edge = rows.where(F.col("_slice") == F.col("_edge")).join(decided, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_raw").eqNullSafe(F.col("_r")))
     chosen = inner.select("_row", "copies").unionByName(edge.select("_row", "copies")).where("copies > 0")
     if mixture.max_epochs > 1:
         chosen = chosen.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return chosen.select("_row.*")
+    return unboxed(chosen)
 
 
 def op8_source_mixing(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import documents
+from seqloom.llm.common import boxed, documents, unboxed
 from seqloom.llm.spans import find_all, joined, let, no_spans, replaced
 from seqloom.session import checkpointed
 
@@ -91,7 +91,7 @@ def find_private(docs: DataFrame, disclosure: float = 0.9, support: int = 3, rea
     A null text is empty. Repeated rows are reported alike, and count as documents, but once for `support`. Only doc_id and text are read.
     """
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    slim = docs.select("doc_id", whole.alias("_text"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole.alias("_text"))
     seen = slim.withColumn("base", entities(F.col("_text")))
     seen = seen.select("doc_id", F.xxhash64("_text").alias("raw"), "base", F.when(F.size("base") > 0, _context(F.col("_text"), F.col("base"), reach)).alias("context"), F.monotonically_increasing_id().alias("row"))
     seen = checkpointed(seen)
@@ -114,9 +114,10 @@ def find_private(docs: DataFrame, disclosure: float = 0.9, support: int = 3, rea
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """docs with entities generalised to their kind and disclosing terms removed; other rows and columns as they are."""
     found = find_private(docs, **options).select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw"), F.concat("base", "terms").alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_id", "_raw"])
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("_raw"))
-    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(replaced(F.col("text"), F.col("_spans"), lambda k: F.when(k == "term", "").otherwise(F.concat(F.lit("["), F.upper(k), F.lit("]")))))
-    return docs.join(found, same, "left").withColumn("text", clean).drop("_id", "_raw", "_spans")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_raw"))
+    label = lambda k: F.when(k == "term", "").otherwise(F.concat(F.lit("["), F.upper(k), F.lit("]")))
+    rows = boxed(docs).join(found, same, "left")
+    return unboxed(rows, text=F.when(F.col("_spans").isNull(), F.col("text")).otherwise(replaced(F.col("text"), F.col("_spans"), label)))
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:

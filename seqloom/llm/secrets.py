@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import documents
+from seqloom.llm.common import boxed, documents, unboxed
 from seqloom.llm.spans import by_start, find_all, joined, no_spans, replaced
 
 _parse, _MAX = re._parser, 48
@@ -143,25 +143,29 @@ class TrigramIndex:
         return out
 
 
-def find_secrets(docs: DataFrame, rules: list[SecretRule] | None = None, text: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, rules: list[SecretRule] | None = None) -> DataFrame:
     """docs with secrets: an array of (kind, start, end, value), sorted by start and then the order of the rules. A null text has none.
     Each row is looked at alone, so repeated rows, ties and empty tables need no care; a column of docs named secrets is replaced."""
+    rows = _scanned(docs, rules)
+    return unboxed(rows, secrets=F.col("_found"))
+
+
+def _scanned(docs: DataFrame, rules: list[SecretRule] | None) -> DataFrame:
     rules = rules or [*BASE_RULES, *MORE_RULES]
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     index = TrigramIndex.over(queries.values())
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    df = docs.withColumns({"_whole": whole, "_masks": index.masks(F.lower(whole))})
+    df = boxed(docs).withColumn("_whole", F.coalesce("text", F.lit(""))).withColumn("_masks", index.masks(F.lower("_whole")))
     spans = [F.when(index.holds(F.col("_masks"), queries[r.kind]), find_all(F.col("_whole"), r.pattern, r.kind, r.passes)).otherwise(no_spans()) for r in rules]
     df = df.withColumn("_spans", F.concat(*spans))
     some = F.when(F.size("_spans") > 1, by_start(F.col("_spans"), [r.kind for r in rules])).otherwise(F.col("_spans"))
     # the always true condition keeps filters on the result from being pushed below and computing it twice
-    df = df.withColumn("secrets", F.when(F.monotonically_increasing_id() >= 0, some))
-    return df.drop("_whole", "_masks", "_spans")
+    return df.withColumn("_found", F.when(F.monotonically_increasing_id() >= 0, some))
 
 
 def redact(docs: DataFrame, rules: list[SecretRule] | None = None) -> DataFrame:
     """docs with each secret in text replaced by its kind in brackets."""
-    return find_secrets(docs, rules).withColumn("text", F.when(F.size("secrets") > 0, replaced(F.col("text"), F.col("secrets"), lambda k: F.concat(F.lit("["), k, F.lit("]")))).otherwise(F.col("text"))).drop("secrets")
+    label = lambda k: F.concat(F.lit("["), k, F.lit("]"))
+    return unboxed(_scanned(docs, rules), text=F.when(F.size("_found") > 0, replaced(F.col("text"), F.col("_found"), label)).otherwise(F.col("text")))
 
 
 def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
