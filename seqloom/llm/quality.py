@@ -14,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import SPACE, WORD, documents, words
+from seqloom.llm.common import SPACE, WORD, boxed, documents, unboxed, words
+from seqloom.session import checkpointed
 
 _RUN = 5
 
@@ -181,18 +182,21 @@ def judge(docs: DataFrame, rules: list[Rule] = RULES, threshold: float = 0.5, mo
     name of a result are replaced; others stay. Nulls: a null text has no words and fails the base. Repeated rows are judged alike; an
     empty table fits nothing and returns nothing.
     """
-    model = model or fit(statistics(docs.select("text")), rules)
-    found = statistics(docs)
-    found = found.withColumns({"base_failed": _base_failed(), "posterior": model.posterior([r.vote() for r in rules])})
+    return verdict(statistics(docs), model or fit(statistics(docs.select("text")), rules), rules, threshold)
+
+
+def verdict(stats: DataFrame, model: LabelModel, rules: list[Rule] = RULES, threshold: float = 0.5) -> DataFrame:
+    """judge() from statistics that are there already."""
+    found = stats.withColumns({"base_failed": _base_failed(), "posterior": model.posterior([r.vote() for r in rules])})
     return found.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that judge() keeps, with their own columns."""
-    marked = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    return judge(marked, **options).where("kept").select("_row.*")
+    return unboxed(judge(boxed(docs), **options).where("kept"))
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
-    found = judge(documents(spark, sf_dir).select("doc_id", "text"))
+    stats = checkpointed(statistics(documents(spark, sf_dir).select("doc_id", "text")).drop("text"))
+    found = verdict(stats, fit(stats))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
