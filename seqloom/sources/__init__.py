@@ -1 +1 @@
-"""The sources of seqloom."""
+"""Sources and sinks of seqloom."""
