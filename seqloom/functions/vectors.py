@@ -44,11 +44,11 @@ def add_log(a: Column, b: Column) -> Column:
 
 
 def cap(v: Column, most) -> Column:
-    return F.transform(v, lambda x: F.least(x, F.lit(float(most))))
+    return F.transform(v, lambda x: F.when(x.isNotNull(), F.least(x, F.lit(float(most)))))
 
 
 def floor(v: Column, least) -> Column:
-    return F.transform(v, lambda x: F.greatest(x, F.lit(float(least))))
+    return F.transform(v, lambda x: F.when(x.isNotNull(), F.greatest(x, F.lit(float(least)))))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -23,14 +23,14 @@ def column_stats(df: DataFrame, columns: list[str], digits: int = 6) -> DataFram
 
 def nominal_stats(df: DataFrame, column: str) -> DataFrame:
     """n, missing, n_values, mode (ties to the least value), mode_share, entropy in bits."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("c"))
-    known = F.col(column).isNotNull()
-    c = F.when(known, F.col("c"))
-    total = F.sum(c)
+    counts = df.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    known = F.col("_v").isNotNull()
+    n = F.when(known, F.col("_n"))
+    total = F.sum(n)
     return counts.agg(
-        F.coalesce(total, F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(~known, F.col("c"))), F.lit(0)).alias("missing"), F.count(c).alias("n_values"),
-        F.min(F.when(known, F.struct((-F.col("c")).alias("a"), F.col(column).alias("v"))))["v"].alias("mode"), F.round(F.max(c) / total, 6).alias("mode_share"),
-        F.round(F.log2(total) - F.sum(c * F.log2(c)) / total, 6).alias("entropy"),
+        F.coalesce(total, F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(~known, F.col("_n"))), F.lit(0)).alias("missing"), F.count(n).alias("n_values"),
+        F.min(F.when(known, F.struct((-F.col("_n")).alias("a"), F.col("_v").alias("v"))))["v"].alias("mode"), F.round(F.max(n) / total, 6).alias("mode_share"),
+        F.round(F.log2(total) - F.sum(n * F.log2(n)) / total, 6).alias("entropy"),
     )
 
 

@@ -48,7 +48,8 @@ class Discretize:
 
     def apply(self, df: DataFrame) -> DataFrame:
         k = self.buckets
-        return df.withColumns({c: F.greatest(F.lit(0), F.least(F.lit(k - 1), F.floor((F.col(c).cast("double") - a) * k / w))).cast("int") for c, (a, w) in self.columns.items()})
+        bucket = lambda c, a, w: F.greatest(F.lit(0), F.least(F.lit(k - 1), F.floor((F.col(c).cast("double") - a) * k / w))).cast("int")
+        return df.withColumns({c: F.when(F.col(c).isNotNull(), bucket(c, a, w)) for c, (a, w) in self.columns.items()})
 
     def undo(self, df: DataFrame) -> DataFrame:
         return df.withColumns({c: (F.col(c) + 0.5) * w / self.buckets + a for c, (a, w) in self.columns.items()})

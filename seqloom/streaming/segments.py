@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_SEGMENT = "key long, segment long, n long, total double, first_ts timestamp, last_ts timestamp"
-_STATE = "segment long, open boolean, n long, total double, first_ts timestamp, last_ts timestamp"
+_SEGMENT = "key {key}, segment long, n long, total double, first_ts {ts}, last_ts {ts}"
+_STATE = "segment long, open boolean, n long, total double, first_ts {ts}, last_ts {ts}"
 
 
 def segments(events: DataFrame, key: str, ts: str, tie: str, button: str, value: str) -> DataFrame:
@@ -47,7 +47,9 @@ def segment_stream(events: DataFrame, key: str, ts: str, tie: str, button: str,
         state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(done, columns=["key", "segment", "n", "total", "first_ts", "last_ts"]).astype({"first_ts": "datetime64[us]", "last_ts": "datetime64[us]"})
 
-    return events.groupBy(F.col(key).alias("key")).applyInPandasWithState(update, _SEGMENT, _STATE, "append", "ProcessingTimeTimeout")
+    types = dict(events.dtypes)
+    own = {"key": types[key], "ts": types[ts]}
+    return events.withColumn("key", F.col(key)).groupBy("key").applyInPandasWithState(update, _SEGMENT.format(**own), _STATE.format(**own), "append", "ProcessingTimeTimeout")
 
 
 def counts_in_windows(events: DataFrame, ts: str, key: str, width: str, late: str) -> DataFrame:
