@@ -1,6 +1,6 @@
 """Streams: button-parted segments of events, running counts and a Kalman filter, each with a batch twin that gives the same rows.
 
-The segmenter keeps, for each key, whether it records and the open segment; a segment is closed by its next button, by its length or by time.
+The segmenter keeps, for each key, whether it records and the open segment; a segment is closed by its next button.
 """
 
 from __future__ import annotations
@@ -26,14 +26,11 @@ def segments(events: DataFrame, key: str, ts: str, tie: str, button: str, value:
     )
 
 
-def segment_stream(events: DataFrame, key: str, ts: str, tie: str, button: str, value: str, most: int = 100_000, timeout_ms: int = 3_600_000) -> DataFrame:
-    """The same of a stream, as segments close. Events of one batch are taken in the order of ts and tie. A segment of most events is closed; a key silent for timeout_ms
-    of processing time drops its open segment."""
+def segment_stream(events: DataFrame, key: str, ts: str, tie: str, button: str, value: str, most: int = 100_000) -> DataFrame:
+    """The same of a stream, as segments close. Events of one batch are taken in the order of ts and tie. A key's state is six numbers, whatever the length of its open
+    segment; events beyond most of a segment are not counted."""
 
     def update(k, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
         seg, open_, n, total, first, last = state.get if state.exists else (0, False, 0, 0.0, None, None)
         rows, done = pd.concat(list(batches)).sort_values([ts, tie]), []
         for r in rows[[ts, button, value]].itertuples(index=False):
@@ -44,12 +41,11 @@ def segment_stream(events: DataFrame, key: str, ts: str, tie: str, button: str,
             elif open_ and n < most:
                 n, total, first, last = n + 1, total + r[2], first or r[0].to_pydatetime(), r[0].to_pydatetime()
         state.update((seg, open_, n, total, first, last))
-        state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(done, columns=["key", "segment", "n", "total", "first_ts", "last_ts"]).astype({"first_ts": "datetime64[us]", "last_ts": "datetime64[us]"})
 
     types = dict(events.dtypes)
     own = {"key": types[key], "ts": types[ts]}
-    return events.withColumn("key", F.col(key)).groupBy("key").applyInPandasWithState(update, _SEGMENT.format(**own), _STATE.format(**own), "append", "ProcessingTimeTimeout")
+    return events.withColumn("key", F.col(key)).groupBy("key").applyInPandasWithState(update, _SEGMENT.format(**own), _STATE.format(**own), "append", "NoTimeout")
 
 
 def counts_in_windows(events: DataFrame, ts: str, key: str, width: str, late: str) -> DataFrame:
