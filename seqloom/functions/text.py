@@ -124,3 +124,15 @@ def porter_stem(word: str) -> str:
 def stem(words: pd.Series) -> pd.Series:
     known = {w: porter_stem(w) for w in words.dropna().unique()}
     return words.map(known)
+
+
+def wrapped(text: Column, width: int) -> Column:
+    """The lines of text broken at blanks to at most width characters; a longer word is a line of its own."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+    def place(lines: Column, w: Column) -> Column:
+        last = F.try_element_at(lines, F.lit(-1))
+        fits = (F.size(lines) > 0) & (F.length(F.coalesce(last, F.lit(""))) + 1 + F.length(w) <= width)
+        return F.when(fits, F.concat(F.slice(lines, F.lit(1), F.greatest(F.lit(0), F.size(lines) - 1)), F.array(F.concat_ws(" ", last, w)))).otherwise(F.concat(lines, F.array(w)))
+
+    return F.aggregate(words, F.array().cast("array<string>"), place)

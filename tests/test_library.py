@@ -410,3 +410,8 @@ def test_kalman(spark):
     for _ in range(30):
         x, p = segments.extended_kalman_step(x, p, None, [4.0], lambda s, c: s, lambda s, c: np.eye(1), lambda s: s * s, lambda s: np.array([[2 * s[0] + 1e-3]]), np.eye(1) * 0.1, np.eye(1))
     assert abs(abs(x[0]) - 2) < 0.05
+
+
+def test_wrapping(spark):
+    assert one(spark, text.wrapped(F.lit("aa bb  ccc dddddddd e"), 6)) == ["aa bb", "ccc", "dddddddd", "e"]
+    assert one(spark, text.wrapped(F.lit(""), 6)) == []
