@@ -1,8 +1,8 @@
 """Exact deduplication that splits off heavy hitters.
 
 Texts are compared by the SHA-256 digest of their text with each run of white space made one space. Misra-Gries summaries of the
-partitions, merged, find every digest held by more than a (counters + 1)-th of the rows; there are at most counters + 1 of those, so
-their verified winners are broadcast and such rows are decided where they lie. The other digests go through an ordinary shuffle, in
+partitions, merged, find every digest held by more than 2 / (counters + 1) of the rows; at most counters + 1 digests come out, so their
+verified winners are broadcast and such rows are decided where they lie. The other digests go through an ordinary shuffle, in
 which no group is large.
 """
 
@@ -17,8 +17,8 @@ from seqloom.session import checkpointed
 
 
 def heavy_hitters(keys: DataFrame, counters: int) -> DataFrame:
-    """Candidates for the values of the one binary column of keys that more than a (counters + 1)-th of its rows hold: (key, least), where
-    least is at most the true count. All such values are among them; there are at most counters + 1 rows."""
+    """The values of the one binary column of keys that more than 2 / (counters + 1) of its rows hold, and some others: (key, least), where
+    least is at most the true count. There are at most counters + 1 rows."""
     total = keys.count()
 
     def summarise(batches):
