@@ -126,7 +126,7 @@ def _groups(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, bucket_bytes: int = 16_000_000, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, bucket_bytes: int = 10_000_000, with_text: bool = True) -> DataFrame:
     """For each row of docs: doc_id, n_words, n_removed, kept_text (kept words joined by one space) and its kept_sha256.
 
     docs needs doc_id and text; other columns are not looked at. A null text has no words. A row with null doc_id loses no word and
