@@ -131,6 +131,32 @@ def test_label_model_finds_accuracies():
     assert abs(model.prior - 0.85) < 0.05 and all(abs(b - 0.4) < 0.1 for b in model.on_bad)
 
 
+@pytest.mark.parametrize("habit", [0.1, 0.2])
+def test_label_model_learns_habits(habit):
+    """Good documents that break one rule alone are kept, whichever rule it is; documents that break two or more aren't."""
+    rng, rules = random.Random(5), len(quality.RULES)
+    for rule in (0, rules - 1):
+        counts = {}
+        for _ in range(10000):
+            v = [-1 if rng.random() < 0.001 else 1 for _ in range(rules)]
+            if rng.random() < 0.1:
+                for j in (*rng.sample(range(rules), 2), *(j for j in range(rules) if rng.random() < 0.1)):
+                    v[j] = -1
+            elif rng.random() < habit:
+                v[rule] = -1
+            counts[tuple(v)] = counts.get(tuple(v), 0) + 1
+        model = quality.fit_patterns(sorted(counts.items()), rules)
+        assert abs(model.on_good[rule] - (1 - habit)) < 0.03 and abs(model.prior - 0.9) < 0.03
+        odds = lambda broken: model.log_odds() + sum(w[j in broken] for j, w in enumerate(model.weights()))  # noqa: B023, E731
+        assert odds({rule}) > 0 > max(odds({j, k}) for j in range(rules) for k in range(j) if rule not in (j, k))
+
+
+def test_label_model_bad_votes_never_speak_for_a_document():
+    counts = {(-1, 1, 1): 80, (1, 1, 1): 900, (1, -1, -1): 20}
+    model = quality.fit_patterns(sorted(counts.items()), 3)
+    assert all(down <= 1e-9 for _, down in model.weights())
+
+
 def test_bag_min_hash_estimates_weighted_jaccard():
     rng = np.random.default_rng(5)
     h, wa = rng.integers(0, 2**63, 300).astype(np.uint64), rng.integers(1, 9, 300)
