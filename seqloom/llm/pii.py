@@ -1,10 +1,11 @@
 """Information-theoretic sanitisation of personal data.
 
-Patterns find the protected entities: email addresses, IP addresses, payment cards, telephone numbers. A term near an entity discloses it
-when the corpus hardly shows the one without the other: with document counts n over the corpus, the information of an entity is
+Patterns find the protected entities: email addresses, IP addresses, payment cards, telephone numbers. A term in a document with an entity
+discloses it when the corpus hardly shows the one without the other: with document counts n over the corpus, the information of an entity is
 IC(e) = log(N / n(e)), what a term tells of it is PMI(t, e) = log(N n(t, e) / (n(t) n(e))), and the term is taken out where PMI reaches
-`disclosure` times IC and at least `support` different texts show both together. n(t) counts all documents with the term, wherever it
-stands. DataFrame expressions only; texts don't move.
+`disclosure` times IC and at least `support` different texts show both. Both counts are of whole documents, and a term that discloses is taken
+out wherever it stands in any document, but not from within an entity, which is generalised. DataFrame expressions only; texts move only
+if more than 100,000 documents have terms to take out.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ _IP = r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
 _CARD = r"[0-9](?:[\x20-]?[0-9])+"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _TERM = r"[\p{L}\p{N}]{4,}"
+_SMALL = 100_000  # rows that are broadcast at most
 _NOT_TERM = r"[^\p{L}\p{N}]+"
 
 
@@ -59,55 +61,73 @@ def entities(text: Column) -> Column:
     return F.concat(*(F.when(there, find_all(text, p, k, ok)).otherwise(no_spans()) for there, p, k, ok in finds))
 
 
-def _context(text: Column, spans: Column, reach: int) -> Column:
-    """The terms that lie whole within reach characters of a span on its line, each with its entity: (entity, kind:value; term, lower case; start, end)."""
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text, lower case."""
+    return F.array_distinct(F.filter(F.transform(F.split(text, _NOT_TERM), F.lower), lambda t: (t != "") & (F.length(t) >= 4)))
 
-    def near(s: Column) -> Column:
-        # one character more on the far side tells whether the outermost term is whole
-        low = F.greatest(s["start"] - reach - 1, F.lit(0))
-        left = F.substring(text, low + 1, s["start"] - low)
-        right = F.substring(text, s["end"] + 1, F.lit(reach + 1))
 
-        def before(x: Column) -> Column:
-            skip = F.length(F.regexp_extract(x, r"(?s)^(?:.*\n)", 0))
-            cut = F.when((skip == 0) & (low > 0), F.length(F.regexp_extract(x, r"^[\p{L}\p{N}]+", 0))).otherwise(skip)
-            return let(cut, lambda c: find_all(F.substring(x, c + 1, F.length(x)), _TERM, "term", base=low + c))
+def _masked(text: Column, spans: Column) -> Column:
+    """text with all characters of spans replaced by line feeds."""
+    done = F.aggregate(
+        F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))),
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda acc, s: let(F.greatest(s["start"], acc["at"]), lambda a: let(F.greatest(s["end"], acc["at"]), lambda e: F.struct(
+            e.alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, a - acc["at"]), F.repeat(F.lit("\n"), e - a)).alias("out")
+        ))),
+    )
+    return let(done, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
 
-        def after(x: Column) -> Column:
-            line = F.regexp_extract(x, r"^[^\n]*", 0)
-            whole = F.when(F.length(line) > reach, F.regexp_replace(line, r"[\p{L}\p{N}]+$", "")).otherwise(line)
-            return let(whole, lambda w: find_all(w, _TERM, "term", base=s["end"]))
 
-        terms = F.concat(let(left, before), let(right, after))
-        return F.transform(terms, lambda t: F.struct(F.concat_ws(":", s["kind"], s["value"]).alias("entity"), F.lower(t["value"]).alias("term"), t["start"].alias("start"), t["end"].alias("end")))
+def _places(text: Column, gone: Column) -> Column:
+    """The spans of the terms in gone, in one pass over the terms of text."""
+    found, parts = F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.split(text, _TERM, -1)
 
-    inside = lambda t: F.exists(spans, lambda s: (t["start"] < s["end"]) & (t["end"] > s["start"]))
-    return F.filter(F.flatten(F.transform(spans, near)), lambda t: ~inside(t))
+    def step(acc: Column, m: Column, gap: Column) -> Column:
+        start, term = acc["at"] + F.length(gap), F.lower(m)
+        end = start + F.length(m)
+        span = F.struct(F.lit("term").alias("kind"), start.alias("start"), end.alias("end"), term.alias("value"))
+        return F.struct(end.alias("at"), F.when(F.array_contains(gone, term), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
+    start = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
+    pairs = let(parts, lambda ps: let(found, lambda ms: F.transform(ms, lambda m, i: F.struct(m.alias("m"), F.get(ps, i).alias("gap")))))
+    return F.aggregate(pairs, start, lambda acc, x: step(acc, x["m"], x["gap"]), lambda acc: acc["out"])
 
-def find_private(docs: DataFrame, disclosure: float = 0.9, support: int = 3, reach: int = 48) -> DataFrame:
+
+def _few(df: DataFrame) -> DataFrame:
+    """df, checkpointed already, with a hint to broadcast it if it has _SMALL rows at most."""
+    return F.broadcast(df) if df.limit(_SMALL + 1).count() <= _SMALL else df
+
+
+def find_private(docs: DataFrame, disclosure: float = 0.9, support: int = 3) -> DataFrame:
     """doc_id, raw (hash of the text), base (spans of the entities), terms (spans of the disclosing terms), one row per row of docs.
 
     A null text is empty. Repeated rows are reported alike, and count as documents, but once for `support`. Only doc_id and text are read.
     """
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole.alias("_text"))
-    seen = slim.withColumn("base", entities(F.col("_text")))
-    seen = seen.select("doc_id", F.xxhash64("_text").alias("raw"), "base", F.when(F.size("base") > 0, _context(F.col("_text"), F.col("base"), reach)).alias("context"), F.monotonically_increasing_id().alias("row"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole.alias("_text")).withColumn("raw", F.xxhash64("_text"))
+    # terms that touch an entity aren't whole outside it
+    own = F.when(F.size("base") > 0, F.array_intersect(_terms(_masked(F.col("_text"), F.col("base"))), _terms(F.col("_text"))))
+    seen = slim.withColumn("base", entities(F.col("_text"))).select("doc_id", "raw", "base", own.alias("own"), F.monotonically_increasing_id().alias("row"))
     seen = checkpointed(seen)
     total = seen.count()
 
-    around = seen.where(F.size("context") > 0).select("row", "raw", F.explode("context").alias("c")).select("row", "raw", "c.*")
-    together = around.groupBy("entity", "term").agg(F.countDistinct("row").alias("n_both"), F.countDistinct("raw").alias("n_texts")).where(F.col("n_texts") >= support)
-    held = seen.where(F.size("base") > 0).select("row", F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"])))).alias("entity"))
-    n_entity = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    n_term = slim.select(F.explode(F.array_distinct(F.split(F.lower("_text"), _NOT_TERM))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    scored = together.join(n_entity, "entity").join(n_term, "term")
+    holders = seen.where(F.size("base") > 0)
+    firsts = holders.groupBy("raw").agg(F.min("row").alias("row")).select("row", F.lit(1).alias("first"))
+    named = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"])))
+    held = holders.select("row", F.explode(named).alias("entity")).join(firsts, "row", "left")
+    n_entity = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.count("first").alias("n_first")).where(F.col("n_first") >= support).drop("n_first")
+    pairs = held.join(n_entity, "entity").join(holders.select("row", "own"), "row").select("entity", "n_entity", "first", F.explode("own").alias("term"))
+    together = pairs.groupBy("entity", "n_entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.count("first").alias("n_texts")).where(F.col("n_texts") >= support)
+    n_term = slim.select(F.explode(_terms(F.col("_text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     pmi = F.log(F.lit(float(total)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    telling = scored.where(pmi >= disclosure * F.log(F.lit(float(total)) / F.col("n_entity"))).select("entity", "term")
-    hits = around.join(telling, ["entity", "term"]).select("row", F.struct(F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value")).alias("s")).distinct()
-    terms = hits.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("terms"))  # of one document each
-    out = seen.drop("context").join(terms, "row", "left")
+    telling = together.join(n_term, "term").where(pmi >= disclosure * F.log(F.lit(float(total)) / F.col("n_entity"))).select("term").distinct()
+
+    with_term = slim.select("doc_id", "raw", F.explode(_terms(F.col("_text"))).alias("term")).join(_few(checkpointed(telling)), "term")
+    gone = checkpointed(with_term.groupBy("doc_id", "raw").agg(F.collect_set("term").alias("gone")).select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw"), "gone"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("raw") == F.col("_raw"))
+    places = _places(_masked(F.col("_text"), entities(F.col("_text"))), F.col("gone"))
+    terms = checkpointed(slim.join(_few(gone), same).select("_id", "_raw", places.alias("terms")).dropDuplicates(["_id", "_raw"]))
+    out = seen.drop("own").join(_few(terms), same, "left")
     return out.select("doc_id", "raw", "base", F.coalesce("terms", no_spans()).alias("terms"))
 
 

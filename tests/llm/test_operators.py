@@ -321,6 +321,15 @@ def test_disclosing_terms(spark):
     assert clean[0] == "Mister  at [EMAIL] island\nother" and clean[2] == "Again [EMAIL]  with" and clean[9] == texts[9]
 
 
+def test_disclosing_terms_anywhere(spark):
+    """A term on another line or far away discloses, and goes from documents without the entity too; one inside an entity stays in its label."""
+    far = " ".join(f"filler{i}" for i in range(30))
+    texts = ["Blofeldt\nernst@spectre.org now", f"ernst@spectre.org so {far} Blofeldt", f"Blofeldt {far}\n\nernst@spectre.org", "Then Blofeldt, BLOFELDT left x@blofeldt.org", *(f"plain words so now then {far} {i}" for i in range(60))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert clean == dict(enumerate(["\n[EMAIL] now", f"[EMAIL] so {far} ", f" {far}\n\n[EMAIL]", "Then ,  left [EMAIL]", *texts[4:]]))
+
+
 def test_secrets(spark, docs, rows, monkeypatch):
     fake(monkeypatch, secrets, docs)
     out = {r.doc_id: r for r in secrets.op10_secret_scan(spark, SF).collect()}
