@@ -52,19 +52,39 @@ def local_alignment(a, b, gap: float = 4.7) -> float:
     return best
 
 
-def recognise(queries: DataFrame, stored: DataFrame, k: int = 5, gap: float = 4.7) -> DataFrame:
-    """query, prediction: the label that most of the k best-aligned stored sequences have, ties to the least label. Both have seq_id, label and points. Stored
-    sequences are the large side; queries, a stated set, go to each of their partitions in blocks."""
-    asked = [(r.seq_id, r.points) for r in queries.select("seq_id", "points").toLocalIterator()]
-    held = stored.sparkSession.sparkContext.broadcast(asked)
+def _asked(queries: DataFrame, block: int):
+    """The query set in blocks, streamed to the driver one at a time."""
+    held = []
+    for r in queries.select("seq_id", "points").toLocalIterator():
+        held.append((r.seq_id, r.points))
+        if len(held) == block:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def _aligned(stored: DataFrame, asked: list, k: int, gap: float) -> DataFrame:
+    held = stored.sparkSession.sparkContext.broadcast(asked)  # one block
 
     def run(batches):
         for batch in batches:
-            rows = [(q, s, label, local_alignment(pq, ps, gap)) for q, pq in held.value for s, label, ps in zip(batch.seq_id, batch.label, batch.points, strict=True)]
+            rows = [(q, s, label, local_alignment(pq, ps, gap)) for q, pq in held.value for s, label, ps in zip(batch.seq_id, batch.label, batch.points, strict=True) if q != s]
             best = pd.DataFrame(rows, columns=["query", "seq_id", "label", "score"]).sort_values(["query", "score", "seq_id"], ascending=[True, False, True])
             yield best.groupby("query").head(k)
 
-    found = stored.select("seq_id", "label", "points").mapInPandas(run, "query long, seq_id long, label string, score double")
+    return stored.select("seq_id", "label", "points").mapInPandas(run, "query long, seq_id long, label string, score double")
+
+
+def recognise(queries: DataFrame, stored: DataFrame, k: int = 5, gap: float = 4.7, block: int = 1024) -> DataFrame:
+    """query, prediction: the label that most of the k best-aligned stored sequences have, ties to the least label. Both have seq_id, label and points; a stored
+    sequence of a query's own seq_id is left out. Stored sequences are the large side; queries, a stated set, go to each of their partitions in blocks."""
+    found = None
+    for asked in _asked(queries, block):
+        part = _aligned(stored, asked, k, gap)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = stored.sparkSession.createDataFrame([], "query long, seq_id long, label string, score double")
     top = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "seq_id"))).where(F.col("r") <= k)
     votes = top.groupBy("query", "label").agg(F.count(F.lit(1)).alias("n"))
     return votes.groupBy("query").agg(F.min(F.struct((-F.col("n")).alias("a"), F.col("label").alias("b")))["b"].alias("prediction"))

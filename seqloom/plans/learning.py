@@ -213,7 +213,7 @@ def _tracks(spark, sf_dir):
 @query("recognise_sequences")
 def recognise_sequences(spark, sf_dir):
     df = _tracks(spark, sf_dir)
-    return sequences.recognise(df.where("seq_id % 20 = 0"), df.where("seq_id % 20 <> 0"), 3)
+    return sequences.recognise(df.where("seq_id % 20 = 0"), df, 3)
 
 
 @query("thinned_sequences")

@@ -302,6 +302,18 @@ def test_alignment_and_thinning(spark):
     assert got == {0: "WAVE", 1: "PUSH"}
 
 
+def test_recognition_searches_all_but_itself(spark, monkeypatch):
+    from seqloom.plans import learning
+
+    rows = [(i, "A", [[1.0, 0.0]] * 4) for i in (0, 20, 40)] + [(i, "B", [[0.0, 1.0]] * 4) for i in (1, 2, 3)] + [(60, "C", [[0.0, 1.0]] * 4)]
+    df = spark.createDataFrame(rows, "seq_id long, label string, points array<array<double>>").repartition(3)
+    monkeypatch.setattr(learning, "_tracks", lambda spark, sf_dir: df)
+    want = {0: "A", 20: "A", 40: "A", 60: "B"}
+    assert {r["query"]: r.prediction for r in learning.recognise_sequences(spark, None).collect()} == want
+    assert {r["query"]: r.prediction for r in sequences.recognise(df.where("seq_id % 20 = 0"), df, 3, block=3).collect()} == want
+    assert sequences.recognise(df.limit(0), df, 3).count() == 0
+
+
 def test_hidden_markov_model(spark):
     from itertools import product
 
