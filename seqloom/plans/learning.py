@@ -130,8 +130,8 @@ def sequence_neighbors(spark, sf_dir):
 
 @query("kmeans")
 def kmeans(spark, sf_dir):
-    df = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("v"))
-    centres, _ = clusters.kmeans(df, "v", 4, "vec_id", rounds=8)
+    df = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    centres, _ = clusters.kmeans(df, "v", 4, "vec_id")
     return clusters.assigned(df, "v", centres).select("vec_id", "cluster")
 
 
@@ -172,8 +172,10 @@ def fold_assignment(spark, sf_dir):
 
 @query("cross_validation")
 def cross_validation(spark, sf_dir):
-    df = table(spark, sf_dir, "embeddings").select("vec_id", "label", *(F.get("embedding", i).alias(f"x{i}") for i in range(6)))
-    return models.cross_validate(models.MixtureByClass(), df, [f"x{i}" for i in range(6)], "label", 3, key="vec_id")
+    df = table(spark, sf_dir, "embeddings")
+    names = [f"x{i}" for i in range(df.agg(F.max(F.size("embedding"))).first()[0])]
+    df = df.select("vec_id", "label", *(F.get("embedding", i).alias(x) for i, x in enumerate(names)))
+    return models.cross_validate(models.MixtureByClass(), df, names, "label", 3, key="vec_id")
 
 
 @query("precision_curve", """WITH r AS (SELECT event_id, event_type = 'click' AS pos, row_number() OVER w AS seen, sum((event_type = 'click')::INT) OVER w AS recalled FROM events WINDOW w AS (ORDER BY value DESC, event_id ROWS UNBOUNDED PRECEDING))

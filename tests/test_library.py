@@ -396,6 +396,17 @@ def test_generated(spark):
     assert generate.grid_walk(spark, 3, 2, 40).where("x not between 0 and 2 or y not between 0 and 1").count() == 0
 
 
+def test_queries_use_whole_embeddings(spark, tmp_path):
+    """Only the last of 64 numbers tells the two halves apart."""
+    from seqloom.plans import learning
+
+    rows = [(i, [float(i * j % 3) / 10 for j in range(63)] + [50.0 * (i % 2)], i % 2) for i in range(80)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    groups = {(r.vec_id % 2, r.cluster) for r in learning.kmeans(spark, str(tmp_path)).collect()}
+    assert len({c for _, c in groups}) == len(groups) > 1
+    assert min(r.score for r in learning.cross_validation(spark, str(tmp_path)).collect()) > 0.9
+
+
 # streams ---------------------------------------------------------------------------------------------------------------------
 
 
