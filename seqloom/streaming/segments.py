@@ -26,9 +26,9 @@ def segments(events: DataFrame, key: str, ts: str, tie: str, button: str, value:
     )
 
 
-def segment_stream(events: DataFrame, key: str, ts: str, tie: str, button: str, value: str, most: int = 100_000) -> DataFrame:
+def segment_stream(events: DataFrame, key: str, ts: str, tie: str, button: str, value: str) -> DataFrame:
     """The same of a stream, as segments close. Events of one batch are taken in the order of ts and tie. A key's state is six numbers, whatever the length of its open
-    segment; events beyond most of a segment are not counted."""
+    segment."""
 
     def update(k, batches, state):
         seg, open_, n, total, first, last = state.get if state.exists else (0, False, 0, 0.0, None, None)
@@ -38,7 +38,7 @@ def segment_stream(events: DataFrame, key: str, ts: str, tie: str, button: str,
                 if open_ and n:
                     done.append((k[0], seg, n, total, first, last))
                 seg, open_, n, total, first, last = (seg, False, 0, 0.0, None, None) if open_ else (seg + 1, True, 0, 0.0, None, None)
-            elif open_ and n < most:
+            elif open_:
                 n, total, first, last = n + 1, total + r[2], first or r[0].to_pydatetime(), r[0].to_pydatetime()
         state.update((seg, open_, n, total, first, last))
         yield pd.DataFrame(done, columns=["key", "segment", "n", "total", "first_ts", "last_ts"]).astype({"first_ts": "datetime64[us]", "last_ts": "datetime64[us]"})

@@ -425,6 +425,17 @@ def test_stream_and_table_agree(spark, tmp_path):
     assert show(spark.table("closed")) == show(want)
 
 
+def test_stream_counts_long_segments(spark, tmp_path):
+    n = 100_500
+    events = spark.range(n + 2).select(F.lit(1).cast("long").alias("user_id"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("event_id"), F.col("id").isin(0, n + 1).alias("button"), F.lit(1.0).alias("value"))
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = segments.segment_stream(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), "user_id", "ts", "event_id", "button", "value")
+    out.writeStream.format("memory").queryName("long_segments").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start().awaitTermination()
+    want = segments.segments(events, "user_id", "ts", "event_id", "button", "value").collect()
+    assert list(map(tuple, spark.table("long_segments").collect())) == list(map(tuple, want))
+    assert want[0].n == n
+
+
 def test_kalman(spark):
     df = spark.createDataFrame([(1, i, 5.0 + (-1) ** i) for i in range(60)], "k long, t long, z double")
     last = segments.kalman(df, "k", ["t"], "z", 1e-4, 1.0).orderBy(F.desc("t")).first()
