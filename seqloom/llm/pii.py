@@ -25,7 +25,7 @@ _EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 _IP = r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
 _CARD = r"[0-9](?:[\x20-]?[0-9])+"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_TERM = r"[\p{L}\p{N}]{4,}"
+_TERM = r"[\p{L}\p{N}]+"
 _SMALL = 100_000  # rows that are broadcast at most
 _NOT_TERM = r"[^\p{L}\p{N}]+"
 
@@ -63,7 +63,7 @@ def entities(text: Column) -> Column:
 
 def _terms(text: Column) -> Column:
     """The distinct terms of a text, lower case."""
-    return F.array_distinct(F.filter(F.transform(F.split(text, _NOT_TERM), F.lower), lambda t: (t != "") & (F.length(t) >= 4)))
+    return F.array_distinct(F.filter(F.transform(F.split(text, _NOT_TERM), F.lower), lambda t: t != ""))
 
 
 def _masked(text: Column, spans: Column) -> Column:

@@ -330,6 +330,13 @@ def test_disclosing_terms_anywhere(spark):
     assert clean == dict(enumerate(["\n[EMAIL] now", f"[EMAIL] so {far} ", f" {far}\n\n[EMAIL]", "Then ,  left [EMAIL]", *texts[4:]]))
 
 
+def test_short_disclosing_terms(spark):
+    texts = ["Ng at a@b.org is", "a@b.org is Ng", "so Ng (a@b.org) at", "金 c@d.org", "c@d.org 金", "金, c@d.org is", *(f"it is at so {i}" for i in range(60))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = [r.text for r in pii.sanitise(df).orderBy("doc_id").collect()]
+    assert clean == [" at [EMAIL] is", "[EMAIL] is ", "so  ([EMAIL]) at", " [EMAIL]", "[EMAIL] ", ", [EMAIL] is", *texts[6:]]
+
+
 def test_secrets(spark, docs, rows, monkeypatch):
     fake(monkeypatch, secrets, docs)
     out = {r.doc_id: r for r in secrets.op10_secret_scan(spark, SF).collect()}
