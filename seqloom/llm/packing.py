@@ -27,7 +27,8 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids
 
 
 class Encoder:
-    """Token ids of a byte-level BPE read from a tokenizers JSON file, the same ids as that library gives without special tokens.
+    """Token ids of a byte-level BPE read from a tokenizers JSON file, the same ids as that library gives by default with
+    add_special_tokens=False: added tokens that stand in a text are ids by themselves, and the text between them is encoded part by part.
 
     A space between two other characters always begins a new part, so that text is cut there and the ids of most words come from a table
     of at most `table` words. Parts whose spaces don't lie so are encoded whole.
@@ -40,7 +41,10 @@ class Encoder:
             spec = json.load(f)
         visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(visible))}
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        if any(t.get(x) for t in added for x in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens must be plain literals")
+        special = {t["content"]: array.array("I", [t["id"]]).tobytes() for t in added}
         ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
@@ -53,7 +57,8 @@ class Encoder:
                     self[word] = ids
                 return ids
 
-        self._encode, self._ids = encode, Table().__getitem__
+        self._encode, self._ids, self._special = encode, Table().__getitem__, special
+        self._split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")").split if special else lambda text: [text]
 
     def _part(self, text: str) -> bytes:
         try:
@@ -65,7 +70,11 @@ class Encoder:
             return array.array("I", self._encode(text)).tobytes()
 
     def encode(self, text: str, most: int = 500_000) -> bytes:
-        """The ids as unsigned 32-bit numbers. Long texts are cut at spaces between other characters."""
+        """The ids as unsigned 32-bit numbers."""
+        return b"".join(self._special[x] if i % 2 else self._plain(x, most) for i, x in enumerate(self._split(text)))
+
+    def _plain(self, text: str, most: int) -> bytes:
+        """Of a text without added tokens. Long texts are cut at spaces between other characters."""
         out, at = [], 0
         while len(text) - at > most and (cut := _CUT.search(text, at + most)):
             out.append(self._part(text[at : cut.start()]))

@@ -251,6 +251,18 @@ def test_packing(docs, rows):
         assert at <= 256
 
 
+def test_added_tokens_in_texts():
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(packing.default_tokenizer()), packing._encoder(packing.default_tokenizer())
+    mark = "<|endoftext|>"
+    texts = [f"one {mark} two", mark, mark * 3, f"a  {mark}\n\n{mark} b", f"x{mark}y <|endoftext| >", f"{mark} ", *(t or "" for t in TRICKY)]
+    for text in texts:
+        for most in (500_000, 5):
+            assert np.frombuffer(enc.encode(text, most), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(enc.encode(texts[0]), "<u4").tolist() == [505, 220, 50256, 734]
+
+
 def test_exchange_of_open_sequences(spark):
     rng = random.Random(6)
     lengths = [rng.randint(30, 70) for _ in range(900)]
