@@ -133,3 +133,13 @@ def unboxed(rows: DataFrame, **changed: Column) -> DataFrame:
     names = rows.schema["_row"].dataType.names
     own = [changed[c].alias(c) if c in changed else F.col("_row").getField(c).alias(c) for c in names]
     return rows.select(*own, *(v.alias(k) for k, v in changed.items() if k not in names))
+
+
+#: Numbers in a table that is broadcast, at most.
+SMALL = 1_000_000
+
+
+def few(df: DataFrame, size: Column | None = None) -> DataFrame:
+    """df, checkpointed already, with a hint to broadcast it if the sum of size (of numbers in a row, 1 by default) over its rows is SMALL at most."""
+    total = df.agg(F.coalesce(F.sum(F.lit(1) if size is None else size), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= SMALL else df

@@ -1,22 +1,24 @@
-"""Secret scanning over a trigram index.
+"""Secret scanning over a trigram inverted index.
 
 From each rule's regular expression a Boolean query of trigrams is derived that every matching text satisfies. The index holds, for each
-trigram that some query names, which documents have it, laid out by document: bit masks that stay with the row, as postings do in the
-shards of a code search, so that intersecting postings is an AND of masks and moves nothing. Documents that satisfy a rule's query are
-verified by its expression; a rule without mandatory trigrams scans all documents. DataFrame expressions only.
+trigram that some query names, the sorted keys (64-bit hashes) of the texts that have it, in shards of the keys, so that no list grows with
+the corpus. A query is answered shard by shard by intersecting and uniting its lists, and the texts found are verified by the rule's
+expression; a rule without mandatory trigrams scans all texts. Texts that share a key share candidates, never matches. DataFrame
+expressions only.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import boxed, documents, unboxed
+from seqloom.llm.common import boxed, documents, few, unboxed
 from seqloom.llm.spans import by_start, find_all, joined, no_spans, replaced
+from seqloom.session import checkpointed
 
 _parse, _MAX = re._parser, 48
 
@@ -114,38 +116,46 @@ MORE_RULES = [
 
 @dataclass(frozen=True)
 class TrigramIndex:
-    """Which bit of which mask each trigram has."""
+    """postings: trigram, shard, keys (of the texts that have the trigram, lower case, sorted; null where a shard has none)."""
 
-    place: dict[str, int]
+    trigrams: list[str]
+    postings: DataFrame
 
     @classmethod
-    def over(cls, queries: Iterable[tuple]) -> TrigramIndex:
-        return cls({t: i for i, t in enumerate(sorted({t for q in queries for t in trigrams_of(q)}))})
-
-    def masks(self, text: Column) -> Column:
-        """An array of 60-bit masks: the postings of this document."""
-        names = sorted(self.place, key=self.place.get)
-        return F.array(*(
-            sum((F.when(F.contains(text, F.lit(t)), F.lit(1 << k)).otherwise(F.lit(0).cast("long")) for k, t in enumerate(names[a : a + 60])), F.lit(0).cast("long"))
-            for a in range(0, max(1, len(names)), 60)
-        ))
-
-    def holds(self, masks: Column, query: tuple) -> Column:
-        if query[0] == "all":
-            return F.lit(True)
-        if query[0] == "tri":
-            i = self.place[query[1]]
-            return masks[i // 60].bitwiseAND(F.lit(1 << i % 60)) != 0
-        parts = [self.holds(masks, q) for q in query[1:]]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out & p if query[0] == "and" else out | p
-        return out
+    def build(cls, texts: DataFrame, queries: Iterable[tuple], shard_texts: int = 20_000) -> TrigramIndex:
+        """Over texts (_key, _whole), for the trigrams of queries. A list has about shard_texts keys at most."""
+        names = sorted({t for q in queries for t in trigrams_of(q)})
+        low = texts.select("_key", F.lower("_whole").alias("_low"))
+        held = F.filter(F.array(*(F.when(F.contains("_low", F.lit(t)), F.lit(i)) for i, t in enumerate(names))), lambda i: i.isNotNull())
+        hits = checkpointed(low.select("_key", held.alias("held")).where(F.size("held") > 0))
+        shards = max(1, -(-hits.count() // shard_texts))
+        rows = hits.select("_key", F.pmod("_key", F.lit(shards)).alias("shard"), F.explode("held").alias("i")).groupBy("i", "shard").agg(F.array_sort(F.collect_set("_key")).alias("keys"))
+        name = F.element_at(F.array(*map(F.lit, names)), F.col("i") + 1)
+        return cls(names, rows.select(name.alias("trigram"), "shard", "keys"))
+
+    def candidates(self, queries: Mapping[str, tuple]) -> DataFrame:
+        """_key and kinds: the names of the queries that the text may satisfy. Queries that every text satisfies aren't looked up."""
+        asked = {k: q for k, q in queries.items() if q != ALL}
+        places = {t: i for i, t in enumerate(self.trigrams)}
+        lists = [F.flatten(F.collect_list(F.when(F.col("trigram") == t, F.col("keys")))).alias(f"t{i}") for t, i in places.items()]  # one list each
+
+        def answer(query: tuple) -> Column:
+            if query[0] == "tri":
+                return F.col(f"t{places[query[1]]}")
+            out, *rest = map(answer, query[1:])
+            for x in rest:
+                out = F.array_intersect(out, x) if query[0] == "and" else F.array_union(out, x)
+            return out
+
+        found = F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), answer(q).alias("keys")) for k, q in asked.items())))
+        rows = self.postings.groupBy("shard").agg(*lists).select(found).select("kind", F.explode("keys").alias("_key"))
+        return rows.groupBy("_key").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))  # of one text
 
 
 def find_secrets(docs: DataFrame, rules: list[SecretRule] | None = None) -> DataFrame:
     """docs with secrets: an array of (kind, start, end, value), sorted by start and then the order of the rules. A null text has none.
-    Each row is looked at alone, so repeated rows, ties and empty tables need no care; a column of docs named secrets is replaced."""
+    Rows alike in text are answered alike, whatever their doc_id; an empty table gives none; a column of docs named secrets is replaced, and
+    others may have any name. Long texts are read whole, in time and memory in proportion to them."""
     rows = _scanned(docs, rules)
     return unboxed(rows, secrets=F.col("_found"))
 
@@ -153,9 +163,14 @@ def find_secrets(docs: DataFrame, rules: list[SecretRule] | None = None) -> Data
 def _scanned(docs: DataFrame, rules: list[SecretRule] | None) -> DataFrame:
     rules = rules or [*BASE_RULES, *MORE_RULES]
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
-    index = TrigramIndex.over(queries.values())
-    df = boxed(docs).withColumn("_whole", F.coalesce("text", F.lit(""))).withColumn("_masks", index.masks(F.lower("_whole")))
-    spans = [F.when(index.holds(F.col("_masks"), queries[r.kind]), find_all(F.col("_whole"), r.pattern, r.kind, r.passes)).otherwise(no_spans()) for r in rules]
+    df = boxed(docs).withColumn("_whole", F.coalesce("text", F.lit(""))).withColumn("_key", F.xxhash64("_whole"))
+    if all(q == ALL for q in queries.values()):
+        df = df.withColumn("kinds", F.lit(None).cast("array<string>"))
+    else:
+        found = TrigramIndex.build(df.select("_key", "_whole"), queries.values()).candidates(queries)
+        df = df.join(few(checkpointed(found), 4 * F.size("kinds") + 1), "_key", "left")
+    asked = lambda r: F.lit(True) if queries[r.kind] == ALL else F.coalesce(F.array_contains("kinds", r.kind), F.lit(False))
+    spans = [F.when(asked(r), find_all(F.col("_whole"), r.pattern, r.kind, r.passes)).otherwise(no_spans()) for r in rules]
     df = df.withColumn("_spans", F.concat(*spans))
     some = F.when(F.size("_spans") > 1, by_start(F.col("_spans"), [r.kind for r in rules])).otherwise(F.col("_spans"))
     # the always true condition keeps filters on the result from being pushed below and computing it twice
@@ -163,8 +178,8 @@ def _scanned(docs: DataFrame, rules: list[SecretRule] | None) -> DataFrame:
 
 
 def redact(docs: DataFrame, rules: list[SecretRule] | None = None) -> DataFrame:
-    """docs with each secret in text replaced by its kind in brackets."""
-    label = lambda k: F.concat(F.lit("["), k, F.lit("]"))
+    """docs with each secret in text, and what overlaps it, replaced by its kind in brackets. Odd rows: as find_secrets() says; a null text stays null."""
+    label = lambda s: F.concat(F.lit("["), s["kind"], F.lit("]"))
     return unboxed(_scanned(docs, rules), text=F.when(F.size("_found") > 0, replaced(F.col("text"), F.col("_found"), label)).otherwise(F.col("text")))
 
 

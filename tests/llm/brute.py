@@ -1,6 +1,7 @@
 """Plain versions of the operators, by definition, for small tables."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -38,6 +39,48 @@ def private(text):
     return _told(out, ["email", "ip", "card", "phone"])
 
 
+def private_terms(rows, disclosure=0.9, chance=0.01, near=16):
+    """The spans of the disclosing terms of each row, from all pairs of entities and terms."""
+    import regex
+
+    marked, masks = [], []
+    for _, text in rows:
+        text = text or ""
+        spans = sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in private(text)[-1].split(",") if x))
+        chars, parts = list(text), []
+        for a, b, k in spans:
+            if parts and a < parts[-1][1]:
+                parts[-1] = (parts[-1][0], max(b, parts[-1][1]), parts[-1][2] + [f"{k}:{text[a:b]}"])
+            else:
+                parts.append((a, b, [f"{k}:{text[a:b]}"]))
+        for a, b, _ in parts:
+            chars[a:b] = "\n" * (b - a)
+        terms = [(m.start(), m.end(), m[0].lower()) for m in regex.finditer(r"[\p{L}\p{N}]+", "".join(chars))]
+        tokens = sorted([(a, None, e) for a, _, e in parts] + [(a, t, None) for a, _, t in terms], key=lambda x: x[0])
+        masks.append(terms)
+        marked.append(tokens)
+    docs_of_term, docs_of_entity, close = defaultdict(set), defaultdict(set), defaultdict(set)
+    for d, tokens in enumerate(marked):
+        for i, (_, t, entities) in enumerate(tokens):
+            if t is not None:
+                docs_of_term[t].add(d)
+            for e in entities or ():
+                docs_of_entity[e].add(d)
+                for _, other, _ in tokens[max(0, i - near) : i + near + 1]:
+                    if other is not None:
+                        close[e, other].add(d)
+    total, told = len(rows), set()
+    for e, de in docs_of_entity.items():
+        for t in {t for d in de for _, t, _ in marked[d] if t is not None}:
+            for both, least in ((close[e, t], 1), (de & docs_of_term[t], 2)):
+                texts = len({rows[d][1] or "" for d in both})
+                if texts >= least:
+                    pmi = math.log(total * len(both) / (len(docs_of_term[t]) * len(de)))
+                    if pmi >= disclosure * math.log(total / len(de)) and texts * (pmi - 1) >= -math.log(chance):
+                        told.add(t)
+    return [[f"term:{a}:{b}" for a, b, t in terms if t in told] for terms in masks]
+
+
 def base_quality(text):
     text = text or ""
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seqloom.llm import spans as spans_of
 from seqloom.llm import exact, langid, linededup, minhash, mixing, packing, pii, quality, secrets, substring
 from seqloom.llm.common import rolling, text_buffers, word_hashes
 from tests.llm import brute
@@ -326,6 +327,45 @@ def test_private(spark, docs, rows, monkeypatch):
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256, base) == brute.private(text)
 
 
+def test_disclosing_terms_by_definition(spark, rows):
+    """All spans against all pairs: entities seen once, often, in copies, within others, and terms near, far and in other documents."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.choice([2, 3, 3, 4])))
+    table = [r[:2] for r in rows]
+    for k in range(40):
+        who, mail = f"Name{k % 13}", f"me{k % 13}@host{k % 13}.org"
+        text = [word() for _ in range(rng.choice([5, 40, 90]))]
+        for x in (who, mail, "4111 1111 1111 1111" if k % 7 == 0 else "x", "call +1 (626) 555-5759 now" if k % 3 else word()):
+            text.insert(rng.randrange(len(text)), x)
+        table += [(2 * 10**6 + k, "\n".join(text))] * rng.choice([1, 1, 3])
+    table += [(3 * 10**6 + k, f"Name{k} lives {word()}") for k in range(4)]
+    got = {(r.doc_id, r.raw): r.terms for r in pii.find_private(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()}
+    raws = [r[0] for r in spark.createDataFrame([(i, t or "") for i, (_, t) in enumerate(table)], "i int, text string").orderBy("i").select(F.xxhash64("text")).collect()]
+    want = brute.private_terms(table)
+    assert sum(map(len, want)) > 50 and any(w and d >= 3 * 10**6 for (d, _), w in zip(table, want, strict=True))
+    assert [[f"term:{s.start}:{s.end}" for s in got[d, raw]] for (d, _), raw in zip(table, raws, strict=True)] == want
+
+
+LONG = [
+    "1" * 1_000_000, "a@a" + ".a" * 500_000, "1 " * 500_000, "1." * 500_000, "x@y.z " * 50_000, "+1 " + "2-" * 300_000, "1.2.3 " + "9" * 500_000, "a@" * 300_000, "f" * 1_000_000,
+    "token=" * 150_000, "AKIA" * 250_000, 'api_key: "abcdefgh" ' * 20_000, "ghp_" * 200_000, "eyJ" + "a." * 400_000, "a://" + "b:" * 300_000, "xoxb-" + "-" * 500_000, "é😀\n" * 200_000,
+]
+
+
+def test_long_texts(spark):
+    """A megabyte of what the patterns like least takes no stack and time in proportion."""
+    df = spark.createDataFrame(list(enumerate(LONG)), "doc_id long, text string").repartition(8)
+    assert {r.doc_id: r.n for r in pii.find_private(df).select("doc_id", F.size("base").alias("n")).collect()} == {i: sum(brute.private(t)[:4]) for i, t in enumerate(LONG)}
+    base = F.size(F.filter("secrets", lambda s: s["kind"].isin("assign", "access", "hex"))).alias("n")
+    assert {r.doc_id: r.n for r in secrets.find_secrets(df).select("doc_id", base).collect()} == {i: sum(brute.secrets(t)[:3]) for i, t in enumerate(LONG)}
+
+
+def test_overlapping_spans_are_replaced_whole(spark):
+    df = spark.createDataFrame([(1, "see +1234567890123456 or x")], "doc_id long, text string")
+    spans = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit("").alias("value")) for k, a, b in (("b", 6, 21), ("a", 4, 12), ("c", 25, 26))))
+    assert df.select(spans_of.replaced(F.col("text"), spans, lambda s: F.concat(F.lit("["), s["kind"], F.lit("]")))).first()[0] == "see [a] or [c]"
+
+
 def test_disclosing_terms(spark):
     texts = ["Mister Blofeldt at ernst@spectre.org island\nother", "So Blofeldt wrote from ernst@spectre.org now it", "Again ernst@spectre.org Blofeldt with", *(f"plain island with words {i}" for i in range(60))]
     df = spark.createDataFrame([(i, t, "keep") for i, t in enumerate(texts)], "doc_id long, text string, extra string")
@@ -365,6 +405,23 @@ def test_trigram_queries():
     assert secrets.trigram_query("ab(c|d)e") == ("or", ("and", ("tri", "abc"), ("tri", "bce")), ("and", ("tri", "abd"), ("tri", "bde")))
 
 
+@pytest.mark.parametrize("shard", [7, 20_000])
+def test_postings(docs, rows, shard):
+    """The lists are those of a plain index, and queries find the same texts as asking each text."""
+    queries = {"a": secrets.trigram_query("(en|de)[st]+(ing|ung)"), "b": secrets.trigram_query("the"), "c": secrets.ALL, "d": secrets.trigram_query("(token|ieren)=?")}
+    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"), F.coalesce("text", F.lit("")).alias("_whole")).persist()
+    index = secrets.TrigramIndex.build(texts, queries.values(), shard)
+    held = {r["_key"]: r["_whole"].lower() for r in texts.collect()}
+    lists = {}
+    for r in index.postings.collect():
+        assert r["keys"] == sorted(r["keys"])
+        lists.setdefault(r.trigram, set()).update(r["keys"])
+    assert lists == {t: s for t in index.trigrams if (s := {k for k, x in held.items() if t in x})}
+    ask = lambda q, x: q[1] in x if q[0] == "tri" else (all if q[0] == "and" else any)(ask(p, x) for p in q[1:])
+    got = {r["_key"]: r.kinds for r in index.candidates(queries).collect()}
+    assert got == {k: s for k, x in held.items() if (s := [n for n, q in queries.items() if q != secrets.ALL and ask(q, x)])}
+
+
 def test_more_secrets(spark):
     texts = ["-----BEGIN RSA PRIVATE KEY-----", "x ghp_" + "g1Z" * 12, "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK", "ftp://me:pw@host", "plain"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
