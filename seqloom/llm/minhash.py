@@ -5,10 +5,13 @@ processes over weight: an element of weight w has one process on each of the dya
 w, whose points above w are thinned out, so that two texts agree in a register with the probability of their weighted Jaccard
 similarity. A process ends as soon as it passes the text's largest register.
 
-Signatures are cut into bands. In a bucket of texts that share a band, all are compared with the smallest; then those outside its class
-are compared with the bucket's members outside theirs, but for pairs that the triangle inequality of the Jaccard distance rules out.
-So no link between texts that share a bucket is lost, and a bucket of near copies costs one comparison for each. Comparisons are exact
-multiset overlaps. Equal texts are one node.
+Signatures are cut into bands. In a bucket of texts that share a band, all are compared with one, the pivot; those outside its class are then
+compared with the bucket's members outside theirs, but for pairs that the triangle inequality of the Jaccard distance rules out, if there
+are few outsiders. A bucket with many (pages that share half their text, say) is split: its texts' shingles are ordered, those that the
+pivot has last, and texts that could be near share one of the first shingles of theirs (prefix filtering, which is exact). The texts that
+share one are a bucket of the next round, with a pivot of its own. So no link between texts that share a bucket is lost, a bucket of
+near copies costs one comparison for each, and no round makes more pairs than a constant times its rows, but the last, which compares
+what is left. Comparisons are exact multiset overlaps. Equal texts are one node.
 """
 
 from __future__ import annotations
@@ -86,11 +89,11 @@ def bag_min_hash(hashes: np.ndarray, owner: np.ndarray, weight: np.ndarray, docs
 
 
 def signatures(docs: DataFrame, size: int = 5, bands: int = 24, rows: int = 4) -> DataFrame:
-    """doc_id, digest (of the word sequence; null without words), n (shingles), bands."""
+    """doc_id, raw (hash of the text), digest (of the word sequence; null without words), n (shingles), bands."""
 
     def run(batches):
         for batch in batches:
-            words, at = word_hashes(*text_buffers(batch.column(1)))
+            words, at = word_hashes(*text_buffers(batch.column(2)))
             for a, b in pieces(at, 300_000):
                 w, o = words[at[a] : at[b]], at[a : b + 1] - at[a]
                 h, doc = shingles(w, o, size)
@@ -105,13 +108,18 @@ def signatures(docs: DataFrame, size: int = 5, bands: int = 24, rows: int = 4) -
                 some = np.diff(o) > 0
                 digest = [x.tobytes() if s else None for x, s in zip(d, some, strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * bands, bands), pa.int32()), pa.array(band.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digest, pa.binary()), pa.array(np.bincount(doc, minlength=b - a)), lists], names=["doc_id", "digest", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(digest, pa.binary()), pa.array(np.bincount(doc, minlength=b - a)), lists], names=["doc_id", "raw", "digest", "n", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, digest binary, n long, bands array<long>")
+    return _keyed(docs).mapInArrow(run, "doc_id long, raw long, digest binary, n long, bands array<long>")
 
 
-def similarities(pairs: DataFrame, texts: DataFrame, size: int, block: int = 256) -> DataFrame:
-    """pairs (a, b) with j, their weighted Jaccard similarity. texts: node, text. The texts of each a go once to every block of its pairs."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("raw"), text.alias("text"))
+
+
+def _meetings(pairs: DataFrame, texts: DataFrame, size: int, each, value: tuple[str, pa.DataType], block: int = 256) -> DataFrame:
+    """pairs (a, b) with each(shingles and counts of b, of a). texts: node, text. The text of each a goes once to every block of its pairs."""
     count = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("salts"))
     total = pairs.count()
     group = F.pmod(F.xxhash64("a", "salt"), F.lit(max(1, -(-total // block)))).alias("g")
@@ -127,76 +135,142 @@ def similarities(pairs: DataFrame, texts: DataFrame, size: int, block: int = 256
         at = np.searchsorted(doc[order], np.arange(t.num_rows + 1))
         a, salt, b = (t.column(c).to_pylist() for c in ("a", "salt", "b"))
         first = {(x, s): i for i, (x, s, y) in enumerate(zip(a, salt, b, strict=True)) if y is None}
-        out = []
+        found = []
         for i, y in enumerate(b):
-            if y is None:
-                continue
-            k = first[a[i], salt[i]]
-            p, q = slice(at[i], at[i + 1]), slice(at[k], at[k + 1])
-            _, u, v = np.intersect1d(h[p], h[q], assume_unique=True, return_indices=True)
-            common = int(np.minimum(n[p][u], n[q][v]).sum())
-            every = int(n[p].sum() + n[q].sum()) - common
-            out.append((a[i], y, common / every if every else 0.0))
-        cols = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "j"])
+            if y is not None:
+                k = first[a[i], salt[i]]
+                p, q = slice(at[i], at[i + 1]), slice(at[k], at[k + 1])
+                found.append((a[i], y, each(h[p], n[p], h[q], n[q])))
+        cols = list(zip(*found, strict=True)) or [[], [], []]
+        return pa.table([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int64(), value[1]), strict=True)], names=["a", "b", value[0].split()[0]])
+
+    return rows.groupBy("g").applyInArrow(compare, f"a long, b long, {value[0]}")
+
+
+def similarity(h: np.ndarray, n: np.ndarray, h2: np.ndarray, n2: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two multisets of sorted distinct hashes with counts."""
+    _, u, v = np.intersect1d(h, h2, assume_unique=True, return_indices=True)
+    common = int(np.minimum(n[u], n2[v]).sum())
+    every = int(n.sum() + n2.sum()) - common
+    return common / every if every else 0.0
+
+
+def prefix(h: np.ndarray, n: np.ndarray, h2: np.ndarray, n2: np.ndarray, threshold: float) -> list[int]:
+    """The first elements of a multiset, those of the second multiset last: enough that two of similarity threshold share one."""
+    at = np.searchsorted(h2, h)
+    there = np.where(at < len(h2), h2[np.minimum(at, len(h2) - 1)] == h, False) if len(h2) else np.zeros(len(h), bool)
+    known = np.where(there, n2[np.minimum(at, len(h2) - 1)], 0) if len(h2) else np.zeros(len(h), np.int64)
+    copy = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    element = mix64(np.repeat(h, n) + copy.astype(np.uint64) * _GAMMA)
+    most = len(element) - int(np.ceil(threshold * len(element) - 1e-9)) + 1
+    order = np.lexsort((element, copy < np.repeat(known, n)))[:most]
+    return element[order].view(np.int64).tolist()
+
+
+def similarities(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """pairs (a, b) with j, their weighted Jaccard similarity."""
+    return _meetings(pairs, texts, size, similarity, ("j double", pa.float64()))
+
+
+def _links(cand: DataFrame, texts: DataFrame, threshold: float, size: int, outsiders: int, rounds: int) -> DataFrame:
+    """(node, component) of the classes that links between members of a bucket make. cand: bucket, node, n, checkpointed."""
+    near = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9  # noqa: E731  # no overlap can do more
+    tested, part = None, None
+
+    def test(pairs: DataFrame) -> None:
+        """Compares new pairs and links them."""
+        nonlocal tested, part
+        pairs = pairs.distinct()
+        if tested is not None:
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        new = checkpointed(similarities(checkpointed(pairs), texts, size))
+        linked = new.where(F.col("j") >= threshold).limit(1).count() > 0
+        tested = new if tested is None else checkpointed(tested.unionByName(new))
+        if linked or part is None:
+            part = connected_components(tested.where(F.col("j") >= threshold))
+
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    for number in range(rounds + 1):
+        order = F.struct(F.xxhash64("node", F.lit(number)).alias("h"), "node", "n")
+        pivots = cand.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
+        cand = checkpointed(cand.join(pivots, "bucket"))
+        test(cand.where((F.col("node") != F.col("pivot")) & near(F.col("n"), F.col("pivot_n"))).select(*pair(F.col("node"), F.col("pivot"))))
+
+        own = cand.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        home = own.where("node = pivot").select("bucket", F.col("component").alias("home"))
+        seen = tested.select("a", "b", "j").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"), "j"))
+        mixed = own.join(home, "bucket").withColumn("out", F.col("component") != F.col("home"))
+        open_ = mixed.groupBy("bucket").agg(F.count_if("out").alias("outs")).where("outs > 0")
+        open_ = checkpointed(mixed.join(open_, "bucket").select("bucket", "node", "n", "pivot", "component", "out", "outs"))
+        direct = open_.where(F.col("outs") <= outsiders) if number < rounds else open_
+        direct = direct.join(seen.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "j"), ["pivot", "node"], "left")
+        x, y = direct.where("out").alias("x"), direct.where("node <> pivot").alias("y")
+        far = F.abs(F.col("x.j") - F.col("y.j")) > 1 - threshold + 1e-9
+        more = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where(
+            (F.col("x.component") != F.col("y.component")) & (~F.col("y.out") | (F.col("x.node") < F.col("y.node"))) & near(F.col("x.n"), F.col("y.n")) & ~F.coalesce(far, F.lit(False))
+        )
+        more = checkpointed(more.select(*pair(F.col("x.node"), F.col("y.node"))).distinct())
+        if more.limit(1).count():
+            test(more)
+        large = open_.where(F.col("outs") > outsiders) if number < rounds else open_.limit(0)
+        if not large.limit(1).count():
+            break
+        firsts = lambda *sets: prefix(*sets, threshold)
+        split = _meetings(large.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), texts, size, firsts, ("elements array<long>", pa.list_(pa.int64())))
+        sub = split.select("a", F.col("b").alias("node"), F.explode("elements").alias("e")).select(F.xxhash64("a", "e").alias("bucket"), "node").distinct()
+        sub = checkpointed(sub.join(large.select("node", "n", "component").distinct(), "node"))
+        several = sub.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+        cand = checkpointed(sub.drop("component").join(several, "bucket"))
+        if not cand.limit(1).count():
+            break
+    return part
 
-    return rows.groupBy("g").applyInArrow(compare, "a long, b long, j double")
+
+def _classes(docs: DataFrame, threshold: float, size: int, bands: int, rows: int, outsiders: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with an id and words: doc_id, raw, class_id, class_raw (of the row that stays); and other rows: doc_id, raw."""
+    sigs = checkpointed(signatures(docs, size, bands, rows))
+    is_named = F.col("doc_id").isNotNull() & F.col("digest").isNotNull()
+    named = sigs.where(is_named)
+    nodes = named.groupBy("digest").agg(F.min(F.struct("doc_id", "raw", "n", "bands")).alias("x"))
+    nodes = checkpointed(nodes.select("digest", "x.*", F.monotonically_increasing_id().alias("node")))
+    held = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    buckets = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
+    cand = checkpointed(held.join(buckets, "bucket"))
+    members = cand.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("_id"), F.col("raw").alias("_raw")), "node")
+    texts = _keyed(docs).join(members.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id")) & (F.col("raw") == F.col("_raw"))).select("node", "text")
+    repeated = named.groupBy("doc_id", "raw").count().where("count > 1").limit(1).count()
+    texts = checkpointed(texts.dropDuplicates(["node"]) if repeated else texts)
+    part = _links(cand, texts, threshold, size, outsiders, rounds)
+    place = nodes.join(part, "node", "left").select("digest", "doc_id", "raw", F.coalesce("component", "node").alias("component"))
+    best = place.groupBy("component").agg(F.min(F.struct("doc_id", "raw")).alias("best"))
+    place = place.join(best, "component").select("digest", F.col("best.doc_id").alias("class_id"), F.col("best.raw").alias("class_raw"))
+    return named.join(place, "digest").select("doc_id", "raw", "class_id", "class_raw"), sigs.where(~is_named).select("doc_id", "raw")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 24, rows: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 24, rows: int = 4, outsiders: int = 64, rounds: int = 6) -> DataFrame:
     """One row per row of docs: doc_id, class_id (the smallest doc_id of its class).
 
     Classes are connected by similarities of at least threshold. A text of fewer than size words is one shingle of all its words; a
-    text without words, or null, is alone, and so is a row with null doc_id, whose class is null. Rows with the same doc_id are one
-    document. Only doc_id and text are read.
+    text without words, or null, is alone, and so is a row with null doc_id, whose class is null. Rows with the same doc_id but other words
+    are texts like others; repeated rows are one. An empty table has no classes. Only doc_id and text are read, so that other columns may have any
+    name. Long texts are read whole; a task holds the shingles of a few hundred texts at once. outsiders: of a bucket's pivot, that are
+    compared with its other members rather than split up; rounds: of splitting, after which what is left is compared.
     """
-    sigs = checkpointed(signatures(docs, size, bands, rows))
-    named = sigs.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
-    firsts = checkpointed(named.groupBy("digest").agg(F.min("doc_id").alias("node")))
-    nodes = named.join(firsts, [named["digest"] == firsts["digest"], named["doc_id"] == firsts["node"]]).select("node", "n", "bands").dropDuplicates(["node"])
-    held = nodes.select("node", "n", F.explode("bands").alias("band"))
-    buckets = held.groupBy("band").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    cand = checkpointed(held.join(buckets, "band").select("band", "node", "n", F.col("first.node").alias("pivot"), F.col("first.n").alias("pivot_n")))
+    named, lone = _classes(docs, threshold, size, bands, rows, outsiders, rounds)
+    return named.select("doc_id", "class_id").unionByName(lone.select("doc_id", F.col("doc_id").alias("class_id")))
 
-    near = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9  # noqa: E731  # no overlap can do more
-    stars = checkpointed(cand.where((F.col("node") != F.col("pivot")) & near(F.col("n"), F.col("pivot_n"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    members = cand.select(F.col("node").alias("_node")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(members.hint("shuffle_hash"), F.col("node") == F.col("_node"), "left_semi")
-    texts = checkpointed(texts.dropDuplicates(["node"]) if sigs.count() > sigs.select("doc_id").distinct().count() else texts)
-    tested = checkpointed(similarities(stars, texts, size))
-    links = tested.where(F.col("j") >= threshold)
-    part = connected_components(links)
-
-    # members outside the class of their bucket's first text
-    own = cand.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = own.groupBy("band").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.min(F.struct("node", "component")).alias("_first")).where("_low <> _high")
-    open_ = own.join(mixed, "band").join(tested.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "j"), ["pivot", "node"], "left")
-    open_ = checkpointed(open_.select("band", "node", "n", "component", "j", (F.col("node") == F.col("pivot")).alias("is_pivot"), (F.col("component") != F.col("_first.component")).alias("out")))
-    x, y = open_.where("out").alias("x"), open_.where("not is_pivot").alias("y")
-    far = F.abs(F.col("x.j") - F.col("y.j")) > 1 - threshold + 1e-9
-    more = x.join(y, F.col("x.band") == F.col("y.band")).where(
-        (F.col("x.component") != F.col("y.component")) & (~F.col("y.out") | (F.col("x.node") < F.col("y.node"))) & near(F.col("x.n"), F.col("y.n")) & ~F.coalesce(far, F.lit(False))
-    )
-    more = more.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = checkpointed(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        found = checkpointed(similarities(more, texts, size).where(F.col("j") >= threshold))
-        if found.limit(1).count():
-            part = connected_components(links.unionByName(found))
-    place = firsts.join(part, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"))
-    lone = sigs.where(F.col("doc_id").isNull() | F.col("digest").isNull()).select("doc_id", F.col("doc_id").alias("class_id"))
-    return named.join(place, "digest").select("doc_id", "class_id").unionByName(lone)
-
-
-def drop_near(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose document is the smallest of its class, with all their columns; of rows with the same doc_id one stays."""
-    found = checkpointed(near_duplicates(docs, **options))
-    dropped = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_id")).distinct()
-    same = F.col("doc_id") == F.col("_id")
+
+def drop_near(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 24, rows: int = 4, outsiders: int = 64, rounds: int = 6) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each class one, with the smallest doc_id (and of its texts the one of the smallest
+    hash); rows without words or doc_id all stay. Odd rows: as near_duplicates() says."""
+    named = checkpointed(_classes(docs, threshold, size, bands, rows, outsiders, rounds)[0])
+    stays = (F.col("doc_id") == F.col("class_id")) & (F.col("raw") == F.col("class_raw"))
+    dropped = named.where(~stays).select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw")).distinct()
+    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_raw"))
     rest = boxed(docs).join(dropped.hint("shuffle_hash"), same, "left_anti")
-    twins = checkpointed(found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")))
+    twins = checkpointed(named.where(stays).groupBy("doc_id", "raw").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw")))
     if twins.limit(1).count():
-        rest = rest.join(twins, same, "left_anti").unionByName(rest.join(twins, same, "left_semi").dropDuplicates(["doc_id"]))
+        rest = rest.join(twins, same, "left_anti").unionByName(rest.join(twins, same, "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h"))
     return unboxed(rest)
 
 

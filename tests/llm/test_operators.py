@@ -202,6 +202,54 @@ def test_links_of_outsiders_are_found(spark):
     assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()} == brute.near_classes(table)
 
 
+@pytest.mark.parametrize("outsiders", [0, 3, 64])
+def test_pages_with_much_in_common(spark, outsiders, monkeypatch):
+    """Two families of pages that share most of their words, with near copies among them: no link is lost, and with splitting few pairs are compared."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    frames, table = [[word() for _ in range(150)] for _ in range(2)], []
+    for k in range(120):
+        own = [word() for _ in range(50)]
+        for copy in range(3 if k % 10 == 0 else 1):
+            text = frames[k % 7 == 0] + own
+            if copy:
+                text = [x if rng.random() > 0.008 else word() for x in text]
+            table.append((len(table), " ".join(text)))
+    rng.shuffle(table)
+    compared, plain = [], minhash.similarities
+
+    def counting(pairs, texts, size):
+        compared.append(pairs.count())
+        return plain(pairs, texts, size)
+
+    monkeypatch.setattr(minhash, "similarities", counting)
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df, outsiders=outsiders).collect()} == brute.near_classes(table)
+    assert outsiders == 64 or sum(compared) < 2500 < len(table) ** 2 / 4
+
+
+def test_prefixes_meet():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        pool = np.sort(rng.choice(2**40, 60, False).astype(np.uint64))
+        draw = lambda share: {x: int(rng.integers(1, 4)) for x in pool.tolist() if rng.random() < share}  # noqa: B023, E731
+        a, p = draw(0.8), draw(0.5)
+        b = {**a, **{k: 1 for k in list(a)[: rng.integers(0, 12)]}}
+        sets = [(np.array(sorted(x), np.uint64), np.array([x[k] for k in sorted(x)])) for x in (a, b, p)]
+        if minhash.similarity(*sets[0], *sets[1]) >= 0.8:
+            assert set(minhash.prefix(*sets[0], *sets[2], 0.8)) & set(minhash.prefix(*sets[1], *sets[2], 0.8))
+
+
+def test_ids_with_several_texts(spark):
+    one, other = " ".join(f"a{i}" for i in range(30)), " ".join(f"z{i}" for i in range(30))
+    table = [(1, one), (1, other), (2, one), (2, one + " b"), (3, other + " b"), (3, other + " b"), (4, None)]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id) for r in minhash.near_duplicates(df).collect()) == [(1, 1), (1, 1), (2, 1), (2, 1), (3, 1), (3, 1), (4, 4)]
+    assert sorted(map(tuple, minhash.drop_near(df).collect()), key=repr) == sorted([(1, one), (1, other), (4, None)], key=repr)
+    twice = spark.createDataFrame([(5, one), (5, one), (6, one)], "doc_id long, text string")
+    assert [tuple(r) for r in minhash.drop_near(twice).collect()] == [(5, one)]
+
+
 @pytest.mark.parametrize(("window", "bucket"), [(50, 16_000_000), (50, 20_000), (6, 5_000)])
 def test_substring(docs, rows, window, bucket):
     out = substring.remove_repeats(docs, window, bucket)
