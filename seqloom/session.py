@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +22,7 @@ def get_session(app: str = "seqloom", cores: str = "*", partitions: int = 8, dri
         .config("spark.driver.memory", driver_memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -37,6 +41,7 @@ def shared_folder(spark: SparkSession) -> str:
             if sc.master != "local" and not sc.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="seqloom-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
@@ -45,3 +50,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder and read from there: a later stage survives lost executors and doesn't run df again."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_stored: list[str] = []
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a Parquet table to the shared folder and read from there. Unlike a checkpoint it is compressed, and columns that a plan doesn't
+    read aren't loaded. The table stays until release()."""
+    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    _stored.append(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def release(spark: SparkSession, but: int = 0) -> None:
+    """Deletes what stored() wrote, but for the last tables."""
+    while len(_stored) > but:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_stored.pop(0))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
