@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import SPACE, WORD, boxed, documents, unboxed, words
-from seqloom.session import checkpointed
+from seqloom.session import checkpointed, stored
 
 _RUN = 5
 
@@ -102,7 +102,8 @@ RULES = [
     Rule("upper", _ratio("_n_upper", "word_chars"), 0.12, 0.35),
     Rule("dup_lines", _ratio("n_dup_lines", "_n_lines"), 0.1, 0.5),
     Rule("repeats", _ratio("n_repeat_words", "n_words"), 0.05, 0.18),
-    Rule("distinct", lambda: F.when(F.col("n_words") >= 50, F.col("_n_distinct") / F.least(F.col("n_words"), F.lit(1000))), 0.3, 0.15),
+    # by Heaps' law this ratio of logarithms hardly depends on length
+    Rule("distinct", lambda: F.when(F.col("n_words") >= 2, F.log("_n_distinct") / F.log("n_words")), 0.7, 0.55),
     Rule("word_length", lambda: F.when(F.col("n_words") > 0, F.abs(F.col("word_chars") / F.col("n_words") - 6.0)), 2.5, 5.0),
     Rule("other_chars", _ratio("_n_other", "word_chars"), 0.1, 0.2),
     Rule("line_ends", lambda: F.when(F.col("_n_lines") >= 2, F.col("_n_ended") / F.col("_n_lines")), 0.7, 0.3),
@@ -191,11 +192,13 @@ def _base_failed() -> Column:
 def judge(docs: DataFrame, rules: list[Rule] = RULES, threshold: float = 0.5, model: LabelModel | None = None) -> DataFrame:
     """docs with the statistics of the base, base_failed, posterior (of being good) and kept: false if base_failed, else posterior >= threshold.
 
-    The statistics are computed in both passes, once to fit and once to judge, as that moves no text. Columns of docs that have a
-    name of a result are replaced; others stay. Nulls: a null text has no words and fails the base. Repeated rows are judged alike; an
-    empty table fits nothing and returns nothing.
+    The statistics are computed once and written to the shared folder beside the columns of docs; the fit reads only them. Columns of docs that
+    have a name of a result are replaced; others stay. Nulls: a null text has no words and fails the base; a null doc_id is an id like
+    others. Repeated rows are judged alike, and each counts in the fit; an empty table fits nothing and returns nothing. Whole texts
+    of any length are read; a task holds the words of one text at a time.
     """
-    return verdict(statistics(docs), model or fit(statistics(docs.select("text")), rules), rules, threshold)
+    stats = stored(statistics(docs))
+    return verdict(stats, model or fit(stats, rules), rules, threshold)
 
 
 def verdict(stats: DataFrame, model: LabelModel, rules: list[Rule] = RULES, threshold: float = 0.5) -> DataFrame:
@@ -204,9 +207,10 @@ def verdict(stats: DataFrame, model: LabelModel, rules: list[Rule] = RULES, thre
     return found.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that judge() keeps, with their own columns."""
-    return unboxed(judge(boxed(docs), **options).where("kept"))
+def keep_good(docs: DataFrame, rules: list[Rule] = RULES, threshold: float = 0.5, model: LabelModel | None = None) -> DataFrame:
+    """The rows of docs that judge() keeps, with their own columns. Odd rows: as judge() says."""
+    stats = stored(statistics(boxed(docs)).drop("doc_id", "text"))
+    return unboxed(verdict(stats, model or fit(stats, rules), rules, threshold).where("kept"))
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

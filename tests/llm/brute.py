@@ -90,6 +90,57 @@ def base_quality(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
 
 
+def quality_values(text):
+    """What the rules read, by name of the rule; None where a rule abstains. Words and symbols as base_quality() has them."""
+    import regex
+
+    text = text or ""
+    n, chars, symbols, dup, covered = base_quality(text)
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    ended = sum(bool(re.search(r"[.!?:;\"')\]…。][\x20\x09-\x0D]*$", x)) for x in lines)
+    per = lambda a, b: a / b if b else None
+    return {
+        "symbols": per(symbols, n), "marks": per(sum(c in "!?=_~^{}\\" for c in text), n), "upper": per(len(re.findall("[A-ZÀ-ÖØ-Þ]", text)), chars),
+        "dup_lines": per(dup, len(lines)), "repeats": per(covered, n), "distinct": math.log(len(set(words))) / math.log(n) if n > 1 else None,
+        "word_length": abs(chars / n - 6) if n else None, "other_chars": per(len(regex.findall(r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D]", text)), chars),
+        "line_ends": per(ended, len(lines)) if len(lines) > 1 else None,
+    }
+
+
+def label_model(votes, rounds=1000):
+    """Expectation-maximisation document by document: prior, and how often each rule is right on good and on bad documents."""
+    m = len(votes[0])
+    prior, right = 0.8, [[0.995] * m, [0.15] * m]
+    for _ in range(rounds):
+        posteriors = [label_posterior(v, prior, right) for v in votes]
+        new = [list(right[0]), list(right[1])]
+        for j in range(m):
+            cast = [(p, v[j]) for p, v in zip(posteriors, votes, strict=True) if v[j]]
+            on_good, on_bad = sum(p for p, _ in cast), sum(1 - p for p, _ in cast)
+            broke_good, broke_bad = sum(p for p, v in cast if v < 0), sum(1 - p for p, v in cast if v < 0)
+            if on_good and on_bad:
+                if broke_good / on_good > broke_bad / on_bad:
+                    broke_good = broke_bad = (broke_good + broke_bad) / (on_good + on_bad)
+                    on_good = on_bad = 1
+            new[0][j] = 1 - broke_good / on_good if on_good else new[0][j]
+            new[1][j] = broke_bad / on_bad if on_bad else new[1][j]
+            new[0][j], new[1][j] = min(0.9995, max(0.5, new[0][j])), min(0.98, max(0.02, new[1][j]))
+        before, (prior, right) = (prior, right), (min(0.999, max(0.05, sum(posteriors) / len(votes))), new)
+        if abs(before[0] - prior) + sum(abs(x - y) for a, b in zip(before[1], right, strict=True) for x, y in zip(a, b, strict=True)) < 1e-9:
+            break
+    return prior, right
+
+
+def label_posterior(votes, prior, right):
+    good, bad = prior, 1 - prior
+    for j, v in enumerate(votes):
+        if v:
+            good *= right[0][j] if v > 0 else 1 - right[0][j]
+            bad *= right[1][j] if v < 0 else 1 - right[1][j]
+    return good / (good + bad)
+
+
 def substring_dedup(rows, window):
     split = [(d, (t or "").encode().split()) for d, t in rows]
     own = {}

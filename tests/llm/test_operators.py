@@ -113,6 +113,25 @@ def test_quality_base(spark, docs, rows, monkeypatch):
         assert not (r.kept and r.base_failed)
 
 
+def test_quality_by_definition(spark, docs, rows, monkeypatch):
+    """All verdicts and posteriors against expectation-maximisation that goes through the documents one by one."""
+    fake(monkeypatch, quality, docs)
+    out = {r.doc_id: r for r in quality.op3_quality_rules(spark, SF).collect()}
+    votes = {}
+    for d, text, *_ in rows:
+        values = brute.quality_values(text)
+        low = {r.name: r.good < r.bad for r in quality.RULES}
+        bad = lambda r, v: v >= r.bad if low[r.name] else v <= r.bad  # noqa: B023, E731
+        good = lambda r, v: v <= r.good if low[r.name] else v >= r.good  # noqa: B023, E731
+        votes[d] = [0 if (v := values[r.name]) is None else -1 if bad(r, v) else 1 if good(r, v) else 0 for r in quality.RULES]
+    passed = [v for d, v in votes.items() if not out[d].base_failed]
+    prior, right = brute.label_model(passed)
+    for d, v in votes.items():
+        p = brute.label_posterior(v, prior, right)
+        assert abs(out[d].posterior - p) < 1e-6
+        assert out[d].kept == (not out[d].base_failed and p >= 0.5)
+
+
 def test_quality_against_labels(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
