@@ -7,9 +7,14 @@ holds one whole block of a document cut into blocks of `window // 2` words. So:
 2. each hit is extended: all windows around it, on both sides, are compared by their own hash with the smallest id that has them;
    the windows found make up maximal repeats, whose words are removed.
 
-Documents are held in buckets of bounded size by a hash of doc_id. A bucket sends each distinct hash once, however often a hot passage
-stands in it, as sorted packed differences; an answer is one bit for each hash sent, so that neither pairs of documents nor lists of
-members of a group ever exist. The texts move once, in one exchange which all three passes read.
+Documents are held in buckets of bounded size by a hash of doc_id and text. A bucket sends each distinct hash once, however often a hot
+passage stands in it, as sorted packed differences; an answer is one bit for each hash sent, so that neither pairs of documents nor lists
+of members of a group ever exist. The texts move once, in one exchange which all three passes read.
+
+Hashes meet in shards. There are as many shards as buckets while that leaves 1,000 hashes or more for each shard in a bucket; beyond, hashes
+meet in regions first, where as many buckets as there are regions are merged into a node of a bucket's size, and nodes send what they
+have to the shards of their region. So the hashes in a task stay in proportion to bucket_bytes up to a number of buckets of the third
+power of (bucket_bytes / 6,000): some 10 ** 10 buckets, which is far beyond the 10 ** 7 of 100 TB.
 """
 
 from __future__ import annotations
@@ -27,6 +32,9 @@ _ANSWER = "bucket int, kind int, shard int, n int, bits binary"
 _RESULT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
 
 
+_PROBE, _WINDOW = 1, 2  # kinds of numbers that are exchanged
+
+
 def _pack(v: np.ndarray) -> bytes:
     """Sorted numbers as 32-bit differences, or as they are if one doesn't fit."""
     d = np.diff(v, prepend=np.uint64(0))
@@ -39,6 +47,43 @@ def _unpack(b: bytes, n: int) -> np.ndarray:
     return np.frombuffer(b, "<u8", n, 1).astype(np.uint64)
 
 
+def _encode(kind: int, v: np.ndarray, x: np.ndarray) -> bytes:
+    """Sorted numbers with what is told of each: whether it is a block (probes), or the smallest id (windows)."""
+    if kind == _PROBE:
+        return np.packbits(x).tobytes() + _pack(v)
+    base = int(x.min()) if len(x) else 0
+    wide = bool(len(x)) and int(x.max()) - base >= 2**32
+    return np.array([base, int(wide)], "<i8").tobytes() + v.astype("<u8").tobytes() + (x - base).astype("<i8" if wide else "<u4").tobytes()
+
+
+def _decode(kind: int, n: int, p: bytes) -> tuple[np.ndarray, np.ndarray]:
+    if kind == _PROBE:
+        return _unpack(p[-(-n // 8) :], n), np.unpackbits(np.frombuffer(p, np.uint8, -(-n // 8)), count=n).astype(np.int64)
+    base, wide = np.frombuffer(p, "<i8", 2)
+    return np.frombuffer(p, "<u8", n, 16).astype(np.uint64), np.frombuffer(p, "<i8" if wide else "<u4", n, 16 + 8 * n).astype(np.int64) + base
+
+
+class _Meeting:
+    """The numbers that several senders have sent. values: the distinct ones, sorted; told: of each; place: of each number sent among them;
+    found: for each number sent, whether it is a hit by what is known here."""
+
+    def __init__(self, kind: int, cells: pa.Table):
+        parts = [_decode(kind, n, p) for n, p in zip(cells.column("n").to_pylist(), cells.column("payload").to_pylist(), strict=True)]
+        v, x = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(v, kind="stable")
+        s = v[order]
+        new = np.concatenate([[True], s[1:] != s[:-1]])
+        begin = np.flatnonzero(new)
+        self.values = s[begin]
+        self.place = np.empty(len(v), np.int64)
+        self.place[order] = np.cumsum(new) - 1
+        self.told = (np.maximum if kind == _PROBE else np.minimum).reduceat(x[order], begin)
+        if kind == _PROBE:
+            self.found = ((np.diff(np.append(begin, len(v))) > 1) & (self.told > 0))[self.place]
+        else:
+            self.found = self.told[self.place] < x
+
+
 class _Bucket:
     """Hashes of the documents of one bucket; the same content gives the same lists in any order of rows."""
 
@@ -119,29 +164,25 @@ def _answers(cells: pa.Table, kind: int, told: np.ndarray) -> pa.Table:
     )
 
 
-def _groups(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order that sorts v, and where equal runs begin in it."""
-    order = np.argsort(v, kind="stable")
-    s = v[order]
-    return order, np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-
-
 def remove_repeats(docs: DataFrame, window: int = 50, bucket_bytes: int = 10_000_000, with_text: bool = True) -> DataFrame:
     """For each row of docs: doc_id, n_words, n_removed, kept_text (kept words joined by one space) and its kept_sha256.
 
-    docs needs doc_id and text; other columns are not looked at. A null text has no words. A row with null doc_id loses no word and
-    removes none, as no id is smaller or larger. Rows with the same doc_id don't remove each other's words. Equal rows give equal results.
-    bucket_bytes: of text that one task holds at once; a longer document is alone in its bucket. Memory is in proportion to it, and the
-    number of packed cells falls with its square.
+    docs needs doc_id and text; other columns are not looked at. A null text has no words; an empty table gives none. A row with null doc_id
+    loses no word and removes none, as no id is smaller or larger. Rows with the same doc_id don't remove each other's words. Equal
+    rows give equal results. bucket_bytes: of text that one task holds at once, if no document is longer, and in proportion to which its
+    memory grows. The number of packed cells falls with its square.
     """
     if window < 2 or window % 2:
         raise ValueError("window must be an even number of words")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, -(-total // bucket_bytes))
-    shards = max(1, min(buckets, bucket_bytes // 6 // 1000))
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    base = slim.withColumn("bucket", F.pmod(key, F.lit(buckets)).cast("int"))
+    most = max(2, bucket_bytes // 6 // 1000)
+    shards = min(buckets, most)
+    nodes = -(-buckets // most)  # for each region, which shards are if there are several nodes
+    inner = min(nodes, most)  # shards of a region
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id", F.xxhash64("text")))
+    base = slim.withColumn("bucket", F.pmod(key, F.lit(buckets)).cast("int")).repartition(buckets, "bucket")
 
     def shard1(keys: np.ndarray) -> np.ndarray:
         return (keys >> np.uint64(40)).astype(np.int64)
@@ -150,49 +191,47 @@ def remove_repeats(docs: DataFrame, window: int = 50, bucket_bytes: int = 10_000
         b = _Bucket(t.column("doc_id"), t.column("text"), window, shards)
         keys, is_block, _, _, _ = b.probes()
         low = keys & np.uint64((1 << 40) - 1)
-        return _cells(shard1(keys), k[0].as_py(), lambda x, y: np.packbits(is_block[x:y]).tobytes() + _pack(low[x:y]))
-
-    def join_probes(t):
-        n, p = t.column("n").to_pylist(), t.column("payload").to_pylist()
-        v = np.concatenate([_unpack(x[-(-m // 8) :], m) for m, x in zip(n, p, strict=True)])
-        is_block = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8, -(-m // 8)), count=m) for m, x in zip(n, p, strict=True)])
-        order, begin = _groups(v)
-        size = np.diff(np.append(begin, len(v)))
-        hit = (size > 1) & (np.maximum.reduceat(is_block[order], begin) > 0)
-        told = np.empty(len(v), bool)
-        told[order] = np.repeat(hit, size)
-        return _answers(t, 1, told)
+        return _cells(shard1(keys), k[0].as_py(), lambda x, y: _encode(_PROBE, low[x:y], is_block[x:y]))
+
+    def met(cells: DataFrame, kind: int) -> DataFrame:
+        """The answers to what buckets have sent."""
+
+        def inner_shard(k, values):
+            top = values if kind == _PROBE else values >> np.uint64(24)  # 40 bits
+            return k[0].as_py() // nodes * inner + ((top * np.uint64(inner)) >> np.uint64(40)).astype(np.int64)
+
+        def lift(k, t):
+            m = _Meeting(kind, t)
+            return _cells(inner_shard(k, m.values), k[0].as_py(), lambda x, y: _encode(kind, m.values[x:y], m.told[x:y]))
+
+        def lower(k, t, answers):
+            m = _Meeting(kind, t)
+            return _answers(t, kind, m.found | _bits(answers, kind, inner_shard(k, m.values))[m.place])
+
+        def join(t):
+            return _answers(t, kind, _Meeting(kind, t).found)
+
+        if nodes == 1:
+            return cells.repartition(shards, "shard").groupBy("shard").applyInArrow(join, _ANSWER)
+        node = (F.col("shard") * nodes + F.pmod("bucket", F.lit(nodes))).cast("int")
+        below = cells.withColumn("node", node).repartition(shards * nodes, "node")
+        sent = below.groupBy("node").applyInArrow(lift, _CELL).repartition(shards * inner, "shard")
+        back = sent.groupBy("shard").applyInArrow(join, _ANSWER).withColumnRenamed("bucket", "node").repartition(shards * nodes, "node")
+        return below.groupBy("node").cogroup(back.groupBy("node")).applyInArrow(lower, _ANSWER)
 
     def extended(t, answers):
         b = _Bucket(t.column("doc_id"), t.column("text"), window, shards)
         keys, _, where, inverse, here = b.probes()
-        hit = here | _bits(answers, 1, shard1(keys))
+        hit = here | _bits(answers, _PROBE, shard1(keys))
         return b, *b.candidates(hit, where, inverse)
 
     def send_windows(k, t, answers):
         b, h, first, _, _ = extended(t, answers)
-        base_id = int(first.min()) if len(first) else 0
-        wide = len(first) and int(first.max()) - base_id >= 2**32
-        head = np.array([base_id, int(bool(wide))], "<i8").tobytes()
-        ids = (first - base_id).astype("<i8" if wide else "<u4")
-        return _cells((h % np.uint64(shards)).astype(np.int64), k[0].as_py(), lambda x, y: head + h[x:y].astype("<u8").tobytes() + ids[x:y].tobytes())
-
-    def join_windows(t):
-        hs, ids = [], []
-        for n, p in zip(t.column("n").to_pylist(), t.column("payload").to_pylist(), strict=True):
-            base_id, wide = np.frombuffer(p, "<i8", 2)
-            hs.append(np.frombuffer(p, "<u8", n, 16))
-            ids.append(np.frombuffer(p, "<i8" if wide else "<u4", n, 16 + 8 * n).astype(np.int64) + base_id)
-        v, ids = np.concatenate(hs), np.concatenate(ids)
-        order, begin = _groups(v)
-        least = np.minimum.reduceat(ids[order], begin)
-        told = np.empty(len(v), bool)
-        told[order] = np.repeat(least, np.diff(np.append(begin, len(v)))) < ids[order]
-        return _answers(t, 2, told)
+        return _cells((h % np.uint64(shards)).astype(np.int64), k[0].as_py(), lambda x, y: _encode(_WINDOW, h[x:y], first[x:y]))
 
     def clean(k, t, answers):
         b, h, first, start, inverse = extended(t, answers)
-        told = _bits(answers, 2, (h % np.uint64(shards)).astype(np.int64))
+        told = _bits(answers, _WINDOW, (h % np.uint64(shards)).astype(np.int64))
         gone = start[told[inverse] | (first[inverse] < b.ids[b.doc[start]])]
         step = np.zeros(len(b.words) + 1, np.int32)
         np.add.at(step, gone, 1)
@@ -212,11 +251,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, bucket_bytes: int = 10_000
         cols = [t.column("doc_id"), pa.array(n_words), pa.array(n_words - n_keep), pa.array(kept, pa.string()) if with_text else pa.nulls(len(sha), pa.string()), pa.array(sha, pa.string())]
         return pa.table(cols, names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
-    probes = base.groupBy("bucket").applyInArrow(send_probes, _CELL)
-    told1 = probes.groupBy("shard").applyInArrow(join_probes, _ANSWER)
-    windows = base.groupBy("bucket").cogroup(told1.groupBy("bucket")).applyInArrow(send_windows, _CELL)
-    told2 = windows.groupBy("shard").applyInArrow(join_windows, _ANSWER)
-    told = told1.unionByName(told2)
+    told1 = met(base.groupBy("bucket").applyInArrow(send_probes, _CELL), _PROBE)
+    told2 = met(base.groupBy("bucket").cogroup(told1.repartition(buckets, "bucket").groupBy("bucket")).applyInArrow(send_windows, _CELL), _WINDOW)
+    told = told1.unionByName(told2).repartition(buckets, "bucket")
     return base.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(clean, _RESULT)
 
 

@@ -269,7 +269,7 @@ def test_ids_with_several_texts(spark):
     assert [tuple(r) for r in minhash.drop_near(twice).collect()] == [(5, one)]
 
 
-@pytest.mark.parametrize(("window", "bucket"), [(50, 16_000_000), (50, 20_000), (6, 5_000)])
+@pytest.mark.parametrize(("window", "bucket"), [(50, 16_000_000), (50, 20_000), (6, 30_000)])
 def test_substring(docs, rows, window, bucket):
     out = substring.remove_repeats(docs, window, bucket)
     got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out.collect()), key=repr)
