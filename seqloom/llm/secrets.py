@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import boxed, documents, few, unboxed
-from seqloom.llm.spans import by_start, find_all, joined, no_spans, replaced
+from seqloom.llm.spans import by_start, find_all, joined, let, no_spans, replaced
 from seqloom.session import checkpointed
 
 _parse, _MAX = re._parser, 48
@@ -125,13 +125,12 @@ class TrigramIndex:
     def build(cls, texts: DataFrame, queries: Iterable[tuple], shard_texts: int = 20_000) -> TrigramIndex:
         """Over texts (_key, _whole), for the trigrams of queries. A list has about shard_texts keys at most."""
         names = sorted({t for q in queries for t in trigrams_of(q)})
-        low = texts.select("_key", F.lower("_whole").alias("_low"))
-        held = F.filter(F.array(*(F.when(F.contains("_low", F.lit(t)), F.lit(i)) for i, t in enumerate(names))), lambda i: i.isNotNull())
-        hits = checkpointed(low.select("_key", held.alias("held")).where(F.size("held") > 0))
+        among = F.array(*map(F.lit, names))
+        held = let(F.lower("_whole"), lambda low: F.filter(F.sequence(F.lit(1), F.lit(len(names))), lambda i: F.contains(low, F.element_at(among, i))))
+        hits = checkpointed(texts.select("_key", held.alias("held")))
         shards = max(1, -(-hits.count() // shard_texts))
         rows = hits.select("_key", F.pmod("_key", F.lit(shards)).alias("shard"), F.explode("held").alias("i")).groupBy("i", "shard").agg(F.array_sort(F.collect_set("_key")).alias("keys"))
-        name = F.element_at(F.array(*map(F.lit, names)), F.col("i") + 1)
-        return cls(names, rows.select(name.alias("trigram"), "shard", "keys"))
+        return cls(names, rows.select(F.element_at(among, F.col("i")).alias("trigram"), "shard", "keys"))
 
     def candidates(self, queries: Mapping[str, tuple]) -> DataFrame:
         """_key and kinds: the names of the queries that the text may satisfy. Queries that every text satisfies aren't looked up."""
