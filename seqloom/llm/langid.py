@@ -3,7 +3,8 @@
 Byte trigrams of letters are hashed to `1 << bits` slots. Each language is a smoothed distribution over the slots, counted over all
 learning rows. A document is a mixture of languages: expectation-maximisation estimates its proportions from the slot likelihoods, over
 nested sets of languages in the order of their proportions, and the set is chosen by penalised likelihood (BIC, with the number of
-trigrams divided by their overlap). The prediction is the language of the largest proportion, which is the score.
+trigrams divided by their overlap). The prediction is the language of the largest proportion. The score is that proportion times the
+probability of the best single language among all, so that little evidence doesn't pass for certainty.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ _FOLD[0x80:] = np.arange(0x80, 0x100)
 
 def _counts(column, bits: int):
     """For ranges of documents: their first and last + 1, and the nonzero counts as (document in the range, slot, count)."""
-    data, off = text_buffers(pc.utf8_lower(column.cast(pa.large_string())))
+    column = pc.utf8_lower(column.cast(pa.large_string()))
+    edge = pa.scalar(" ", pa.large_string())  # the beginning and the end of a text are those of words
+    data, off = text_buffers(pc.binary_join_element_wise(edge, column, edge, pa.scalar("", pa.large_string())))
     data = _FOLD[data]
     slots = 1 << bits
     for a, b in pieces(off):
@@ -97,13 +100,16 @@ def _proportions(doc, weight, like, docs: int, start, rounds: int):
     return pi, loss
 
 
-def infer(doc, slot, n, docs: int, logs: np.ndarray, penalty: float, rounds: int = 12) -> np.ndarray:
-    """Proportions by document and language; languages outside the chosen set have 0. logs: by slot and language."""
+def infer(doc, slot, n, docs: int, logs: np.ndarray, penalty: float, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions by document and language, where languages outside the chosen set have 0, as has a document without trigrams; and the
+    probability of the best single language. logs: by slot and language."""
     cell = logs[slot]
     top = cell.max(1, keepdims=True)
     like = np.exp((cell - top).astype(np.float64))
     weight, langs = n.astype(np.float64), logs.shape[1]
     size = np.bincount(doc, weights=weight, minlength=docs)
+    single = np.stack([np.bincount(doc, weights=weight * (cell - top)[:, j], minlength=docs) for j in range(langs)], 1) / 3
+    certainty = 1 / np.exp(single - single.max(1, keepdims=True)).sum(1)
     pi, _ = _proportions(doc, weight, like, docs, np.full((docs, langs), 1 / langs), rounds)
     order = np.argsort(-pi, 1, kind="stable")
     best = np.full(docs, -np.inf)
@@ -130,13 +136,17 @@ def infer(doc, slot, n, docs: int, logs: np.ndarray, penalty: float, rounds: int
         chosen[won[:, None], pick[better]] = p[better]
         active[:] = False
         active[won] = True
-    return chosen
+    chosen[size == 0] = 0
+    return chosen, certainty
 
 
 def identify(docs: DataFrame, model: dict[str, np.ndarray], penalty: float = 2.0, keep: list | None = None) -> DataFrame:
-    """doc_id, the columns named in keep, lang_pred, score, languages (name:share of the chosen set, largest first). Whole texts are read. A null
-    text, one without a letter, or any text if no language was learned, is `und` with score 0; a text of letters too short for a trigram
-    gets the first language of equal proportions."""
+    """doc_id, the columns named in keep, lang_pred, score, languages (name:share of the chosen set, largest first). Whole texts are read, of any
+    length, in slices. A null text, one without a letter, or any text if no language was learned, is `und` with score 0. Languages that tie
+    come in the order of their names. Repeated rows are answered alike, rows with null doc_id like others; an empty table gives none. Columns
+    that aren't in keep aren't looked at; one in keep must not have the name of a result."""
+    if set(keep or []) & {"lang_pred", "score", "languages", "doc_id", "text", "_letters"}:
+        raise ValueError("keep has the name of a result")
     langs = list(model)
     logs = np.stack([model[x] for x in langs], 1) if langs else np.zeros((2, 0), np.float32)
     bits = int(np.log2(len(logs)))
@@ -149,16 +159,16 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], penalty: float = 2.0
         table = held.value
         for batch in batches:
             size = batch.num_rows
-            pi = np.zeros((size, max(1, len(langs))))
+            pi, certainty = np.zeros((size, max(1, len(langs)))), np.ones(size)
             if langs:
                 for a, b, doc, slot, n in _counts(batch.column(batch.schema.get_field_index("text")), bits):
-                    pi[a:b] = infer(doc, slot, n, b - a, table, penalty)
+                    pi[a:b], certainty[a:b] = infer(doc, slot, n, b - a, table, penalty)
             sure = np.asarray(batch.column(batch.schema.get_field_index("_letters"))) & bool(langs)
             flat = sure & (pi.sum(1) == 0)
             pi[flat] = 1 / max(1, len(langs))
             at = pi.argmax(1)
             pred = [langs[j] if s else "und" for j, s in zip(at, sure, strict=True)]
-            score = np.where(sure, np.minimum(pi.max(1), 1.0), 0.0)
+            score = np.where(sure, np.minimum(pi.max(1) * certainty, 1.0), 0.0)
             sets = [",".join(f"{langs[j]}:{p[j]:.3f}" for j in np.argsort(-p, kind="stable") if p[j] > 0) if s else "" for p, s in zip(pi, sure, strict=True)]
             cols = [batch.column(batch.schema.get_field_index(c)) for c in ["doc_id", *names]]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string())], names=["doc_id", *names, "lang_pred", "score", "languages"])

@@ -10,6 +10,8 @@ from __future__ import annotations
 import array
 import json
 import re
+import sys
+import types
 import zlib
 
 import numpy as np
@@ -83,10 +85,9 @@ class Encoder:
 
 
 def _encoder(path: str) -> Encoder:
-    """One for each Python process, which serves many tasks."""
-    import builtins
-
-    held = builtins.__dict__.setdefault("_seqloom_encoders", {})
+    """One for each Python process, which serves many tasks. This module is sent by value and made anew for each task, so that the encoders
+    are kept in a module of their own."""
+    held = sys.modules.setdefault("_seqloom_encoders", types.ModuleType("_seqloom_encoders")).__dict__
     if path not in held:
         held[path] = Encoder(path)
     return held[path]
@@ -94,7 +95,9 @@ def _encoder(path: str) -> Encoder:
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
     """The pieces of every document: its ids and a final 0, of which longer ones are cut into pieces of capacity; the first may be shorter.
-    One row per piece: doc_id, piece, start, length, ids_crc32, ids (little-endian 32-bit; null without with_ids). A null text is empty."""
+    One row per piece: doc_id, piece, start, length, ids_crc32, ids (little-endian 32-bit; null without with_ids). A null text is empty; repeated
+    rows have pieces of their own; an empty table has none. Only doc_id and text are read, so other columns may have any name. A long text
+    is encoded whole, in parts that don't change its ids."""
 
     def run(batches):
         enc = _encoder(path)
@@ -169,7 +172,8 @@ def lower_bound(lengths: np.ndarray, capacity: int, most: int = 50) -> int:
 
 def pack(pieces: DataFrame, capacity: int = 2048, part_items: int = 200_000, rounds: int = 3) -> DataFrame:
     """pieces (with length, at most capacity) and where each goes: sequence_id, offset (gapless from 0), certified (its partition's number of
-    sequences is proven least), lower_bound and sequences of that partition. Pieces of full length are sequences by themselves."""
+    sequences is proven least), lower_bound and sequences of that partition. Pieces of full length are sequences by themselves. Pieces of equal
+    length go in the order of a checkpoint, so that lost tasks give the same places again. Other columns stay; those named like a result clash."""
     pieces = checkpointed(pieces.withColumn("_uid", F.monotonically_increasing_id()))
     names = [c for c in pieces.columns if c != "_uid"]
     full = pieces.where(F.col("length") == capacity).select(
@@ -218,6 +222,8 @@ def default_tokenizer() -> str:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
+    """The token pieces of docs and where each goes: what token_pieces() and pack() return, ids only with with_ids. Null texts are documents of one
+    id, repeated rows are packed each, an empty table gives nothing, and columns but doc_id and text are not looked at."""
     found = pack(token_pieces(docs, tokenizer or default_tokenizer(), capacity, with_ids), capacity)
     return found if with_ids else found.drop("ids")
 

@@ -189,3 +189,86 @@ def near_classes(rows, threshold=0.8):
 
 def normal(text):
     return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
+
+
+def budgets(supply, mixture):
+    """The tokens of each leaf: shares by weight from the root down; children that can't use theirs are filled and leave the rest to the others."""
+    leaves = {k: v * mixture.max_epochs for k, v in sorted(supply.items())}
+
+    def weight(path):
+        options = [path, ("*", *path[1:]), ("*", "*", *path[2:])]
+        return next((mixture.weights[p[: len(path)]] for p in options if p[: len(path)] in mixture.weights), mixture.default)
+
+    def below(node):
+        return sum(v for k, v in leaves.items() if k[: len(node)] == node)
+
+    def fill(node, given, out):
+        if len(node) == 3:
+            out[node] = int(given + 1e-6)
+            return
+        open_, left, shares = sorted({k[: len(node) + 1] for k in leaves if k[: len(node)] == node}), given, {}
+        while open_:
+            weights = {c: max(0.0, weight(c)) for c in open_}
+            if not sum(weights.values()):
+                weights = dict.fromkeys(open_, 1.0)
+            full = [c for c in open_ if left * weights[c] / sum(weights.values()) >= below(c)]
+            if not full:
+                shares |= {c: left * weights[c] / sum(weights.values()) for c in open_}
+                break
+            shares |= {c: below(c) for c in full}
+            left -= sum(below(c) for c in full)
+            open_ = [c for c in open_ if c not in full]
+        for c, x in shares.items():
+            fill(c, x, out)
+
+    out = {}
+    fill((), min(mixture.ratio * sum(supply.values()), below(())), out)
+    return out
+
+
+def trigrams(text, bits=13):
+    """Slots of the byte trigrams of a text, in which all but letters are spaces."""
+    b = [c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in f" {text.lower()} ".encode()]
+    out = Counter()
+    for x, y, z in zip(b, b[1:], b[2:], strict=False):
+        if (x, y) != (32, 32) and (y, z) != (32, 32):
+            out[((x * 65599 + y) * 65599 + z) * 2654435769 % 2**32 >> (32 - bits)] += 1
+    return out
+
+
+def language_shares(text, model, penalty=2.0, rounds=12):
+    """The proportions of the languages chosen for one text, and the score."""
+    langs, cells = list(model), trigrams(text)
+    if not cells:
+        return {}, 0.0
+    logs = {j: {s: float(model[x][s]) for s in cells} for j, x in enumerate(langs)}
+    size = sum(cells.values())
+
+    def run(pick, pi, n):
+        for _ in range(n):
+            new = dict.fromkeys(pick, 0.0)
+            for s, c in cells.items():
+                top = max(logs[j][s] for j in range(len(langs)))
+                joint = {j: pi[j] * math.exp(logs[j][s] - top) for j in pick}
+                for j in pick:
+                    new[j] += c * joint[j] / sum(joint.values())
+            new = {j: max(x / size, 1e-6) for j, x in new.items()}
+            pi = {j: x / sum(new.values()) for j, x in new.items()}
+        loss = sum(c * math.log(sum(pi[j] * math.exp(logs[j][s] - max(logs[k][s] for k in range(len(langs)))) for j in pick) + 1e-300) for s, c in cells.items())
+        return pi, loss
+
+    everything = list(range(len(langs)))
+    pi, _ = run(everything, dict.fromkeys(everything, 1 / len(langs)), rounds)
+    order = sorted(everything, key=lambda j: -pi[j])
+    best, chosen = -math.inf, {}
+    for k in range(1, len(langs) + 1):
+        pick = order[:k]
+        start = {j: pi[j] / sum(pi[i] for i in pick) for j in pick}
+        p, loss = run(pick, start, 0 if k == 1 else rounds)
+        value = loss / 3 - penalty * k * math.log(max(size / 3, 2.0))
+        if value <= best:
+            break
+        best, chosen = value, p
+    single = [sum(c * logs[j][s] for s, c in cells.items()) / 3 for j in everything]
+    certainty = 1 / sum(math.exp(x - max(single)) for x in single)
+    return {langs[j]: x for j, x in chosen.items()}, max(chosen.values()) * certainty
