@@ -305,6 +305,18 @@ def test_exact(docs, rows):
         assert all(best[r.keep_id] == r.group_size for r in got)
 
 
+@pytest.mark.parametrize("counters", [1, 4, 16_384])
+def test_exact_rows_that_stay(docs, rows, counters):
+    """With and without heavy hitters, copies apart in white space, a repeated row and a repeated id."""
+    spark = docs.sparkSession
+    more = [(5000 + i, "\n hot  copy" if i % 2 else " hot copy", None, None, None) for i in range(300)] + [(4999, " hot\tcopy", "x", None, 1)] * 2 + rows[:20] + [(rows[0][0], "another text", None, None, None)]
+    best = {}
+    for r in [*rows, *more]:
+        best[brute.normal(r[1])] = min(best.get(brute.normal(r[1]), r[0]), r[0])
+    got = sorted((brute.normal(r.text), r.doc_id) for r in exact.drop_exact(docs.unionByName(spark.createDataFrame(more, docs.schema)), counters).collect())
+    assert got == sorted(best.items())
+
+
 def test_heavy_hitters(spark):
     keys = [b"hot"] * 400 + [b"warm"] * 150 + [str(i).encode() for i in range(450)]
     random.Random(3).shuffle(keys)
