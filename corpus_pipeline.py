@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import replace
 
 from seqloom.llm import exact, minhash, mixing, packing, quality
-from seqloom.session import shared_folder
+from seqloom.session import release, stored
 
 #: Nine tenths of what the earlier stages keep, each document once at most.
 MIXTURE = replace(mixing.PRODUCTION, ratio=0.9, max_epochs=1)
@@ -24,12 +23,9 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """The rows of the last stage."""
+    """The rows of the last stage. What a stage has written is deleted when the next one's rows are; the last stage's input stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}-{k}"
-            docs.write.parquet(folder)
-            docs = spark.read.parquet(folder)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+        release(spark, but=1)
+    return STAGES[-1][1](spark, docs, sf_dir)
