@@ -130,23 +130,26 @@ def test_quality_base(spark, docs, rows, monkeypatch):
         assert not (r.kept and r.base_failed)
 
 
-def test_quality_by_definition(spark, docs, rows, monkeypatch):
-    """All verdicts and posteriors against expectation-maximisation that goes through the documents one by one."""
-    fake(monkeypatch, quality, docs)
-    out = {r.doc_id: r for r in quality.op3_quality_rules(spark, SF).collect()}
-    votes = {}
-    for d, text, *_ in rows:
-        values = brute.quality_values(text)
+def quality_by_definition(texts):
+    """doc_id -> (posterior, kept) by expectation-maximisation that goes through the documents one by one."""
+    votes, failed = {}, {}
+    for d, text in texts.items():
+        values, base = brute.quality_values(text), brute.base_quality(text)
         low = {r.name: r.good < r.bad for r in quality.RULES}
         bad = lambda r, v: v >= r.bad if low[r.name] else v <= r.bad  # noqa: B023, E731
         good = lambda r, v: v <= r.good if low[r.name] else v >= r.good  # noqa: B023, E731
         votes[d] = [0 if (v := values[r.name]) is None else -1 if bad(r, v) else 1 if good(r, v) else 0 for r in quality.RULES]
-    passed = [v for d, v in votes.items() if not out[d].base_failed]
-    prior, right = brute.label_model(passed)
-    for d, v in votes.items():
-        p = brute.label_posterior(v, prior, right)
-        assert abs(out[d].posterior - p) < 1e-6
-        assert out[d].kept == (not out[d].base_failed and p >= 0.5)
+        failed[d] = base[0] < 10 or 100 * base[4] > 20 * base[0]
+    model = brute.label_model([v for d, v in votes.items() if not failed[d]])
+    found = {d: brute.label_posterior(v, *model) for d, v in votes.items()}
+    return {d: (p, not failed[d] and p >= 0.5) for d, p in found.items()}
+
+
+def test_quality_by_definition(spark, docs, rows, monkeypatch):
+    fake(monkeypatch, quality, docs)
+    want = quality_by_definition({r[0]: r[1] for r in rows})
+    for r in quality.op3_quality_rules(spark, SF).collect():
+        assert abs(r.posterior - want[r.doc_id][0]) < 1e-6 and r.kept == want[r.doc_id][1]
 
 
 def test_quality_against_labels(spark):
@@ -416,23 +419,27 @@ def test_budgets_by_definition(spark, seed):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1 for k in want)
 
 
-def test_mixing_by_definition(docs, rows):
-    """All copies from plain budgets and whole sorted leaves."""
-    placed = {(r.doc_id): r for r in mixing.plan(docs, mixing.PRODUCTION)[0].collect()}
-    supply, leaves = {}, {}
-    domains = {s: d for d, ss in mixing.PRODUCTION.domains.items() for s in ss}
-    for d, text, lang, source, _ in rows:
+def copies_by_definition(docs, rows, mix):
+    """doc_id -> copies from plain budgets and whole sorted leaves; rows: (doc_id, text, lang, source)."""
+    placed = {r.doc_id: r for r in mixing.plan(docs, mix)[0].collect()}
+    supply, leaves, want = {}, {}, {}
+    domains = {s: d for d, ss in mix.domains.items() for s in ss}
+    for d, text, lang, source in rows:
         leaf = (domains.get(source or "", "other"), lang or "", source or "")
         n = len([w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w])
         supply[leaf] = supply.get(leaf, 0) + n
         leaves.setdefault(leaf, []).append((placed[d]["_h"] % 2**64, n, d))
-    own, want = brute.budgets(supply, mixing.PRODUCTION), {}
+    own = brute.budgets(supply, mix)
     for leaf, members in leaves.items():
-        full = min(own[leaf] // supply[leaf], 2) if supply[leaf] else 0
+        full = min(own[leaf] // supply[leaf], mix.max_epochs) if supply[leaf] else 0
         rest = own[leaf] - full * supply[leaf]
         for h, _, d in members:
-            want[d] = min(2, full + (sum(n for g, n, _ in members if g <= h) <= rest))
-    assert {r.doc_id: r.copies for r in mixing.decide(docs).collect()} == want
+            want[d] = min(mix.max_epochs, full + (sum(n for g, n, _ in members if g <= h) <= rest))
+    return want
+
+
+def test_mixing_by_definition(docs, rows):
+    assert {r.doc_id: r.copies for r in mixing.decide(docs).collect()} == copies_by_definition(docs, [r[:4] for r in rows], mixing.PRODUCTION)
 
 
 def test_mixing(docs, rows):
@@ -584,19 +591,31 @@ def test_oracles(spark, name):
 
 
 def test_pipeline(spark):
+    """All rows against the stages by definition, one after the other; sequences are gapless and as few as one best-fit decreasing run needs."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    kept = {r.doc_id: r.text for r in quality.keep_good(docs).collect()}
-    assert set(kept) <= {d for d, t in texts.items() if brute.base_quality(t)[0] >= 10}
-    first = {}
-    for d, t in sorted(kept.items()):
-        first.setdefault(brute.normal(t), d)
-    unique = {d: t for d, t in kept.items() if first[brute.normal(t)] == d}
-    alone = {d for d, c in brute.near_classes(list(unique.items())).items() if d == c}
-    got = [r.asDict() for r in corpus_pipeline.run(spark, SF).collect()]
-    ids = {r["doc_id"] for r in got}
-    assert ids <= alone
-    words = lambda ds: sum(len(texts[d].split()) for d in ds)
-    assert 0.8 * words(alone) <= words(ids) <= 0.9 * words(alone)
+    rows = {r.doc_id: r for r in docs.collect()}
+    verdicts, first = quality_by_definition({d: r.text for d, r in rows.items()}), {}
+    for d in sorted(d for d, (_, kept) in verdicts.items() if kept):
+        first.setdefault(brute.normal(rows[d].text), d)
+    alone = {d for d, c in brute.near_classes([(d, rows[d].text) for d in first.values()]).items() if d == c}
+    copies = copies_by_definition(docs.where(F.col("doc_id").isin(list(alone))), [(d, rows[d].text, rows[d].lang, rows[d].source) for d in alone], corpus_pipeline.MIXTURE)
+    tok, want = Tokenizer.from_file(packing.default_tokenizer()), set()
+    for d in (d for d, n in copies.items() if n):
+        ids = [*tok.encode(rows[d].text or "", add_special_tokens=False).ids, 0]
+        begin, end, k = 0, len(ids) % 2048 or 2048, 0
+        while begin < len(ids):
+            want.add((d, k, begin, end - begin, zlib.crc32(np.array(ids[begin:end], "<u4").tobytes())))
+            begin, end, k = end, end + 2048, k + 1
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert len(got) == len(want) > 50 and {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want
+    places = {}
+    for r in got:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in places.values():
+        ends = [0, *(a + n for a, n in sorted(own))]
+        assert [a for a, _ in sorted(own)] == ends[:-1] and ends[-1] <= 2048
+    open_ = np.array([x[3] for x in want if x[3] < 2048])
+    assert len(places) == packing.best_fit_decreasing(open_, 2048)[2] + len(want) - len(open_)
