@@ -185,7 +185,7 @@ def _links(cand: DataFrame, texts: DataFrame, threshold: float, size: int, outsi
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         new = checkpointed(similarities(checkpointed(pairs), texts, size))
         linked = new.where(F.col("j") >= threshold).limit(1).count() > 0
-        tested = new if tested is None else checkpointed(tested.unionByName(new))
+        tested = new if tested is None else tested.unionByName(new)
         if linked or part is None:
             part = connected_components(tested.where(F.col("j") >= threshold))
 
@@ -247,7 +247,7 @@ def _classes(docs: DataFrame, threshold: float, size: int, bands: int, rows: int
     return named.join(place, "digest").select("doc_id", "raw", "class_id", "class_raw"), sigs.where(~is_named).select("doc_id", "raw")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 24, rows: int = 4, outsiders: int = 64, rounds: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 24, rows: int = 4, outsiders: int = 1000, rounds: int = 6) -> DataFrame:
     """One row per row of docs: doc_id, class_id (the smallest doc_id of its class).
 
     Classes are connected by similarities of at least threshold. A text of fewer than size words is one shingle of all its words; a
@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     return named.select("doc_id", "class_id").unionByName(lone.select("doc_id", F.col("doc_id").alias("class_id")))
 
 
-def drop_near(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 24, rows: int = 4, outsiders: int = 64, rounds: int = 6) -> DataFrame:
+def drop_near(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 24, rows: int = 4, outsiders: int = 1000, rounds: int = 6) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each class one, with the smallest doc_id (and of its texts the one of the smallest
     hash); rows without words or doc_id all stay. Odd rows: as near_duplicates() says."""
     named = checkpointed(_classes(docs, threshold, size, bands, rows, outsiders, rounds)[0])
