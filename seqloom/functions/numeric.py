@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -175,3 +176,11 @@ ACTIVATIONS = {
     "bidir": lambda x: F.signum(x) * (F.sqrt(F.abs(x) + 0.25) - 0.5),
     "piecewise": lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)),
 }
+
+
+def multivariate_normal_density(x: list[Column], mean, covariance) -> Column:
+    """Of a vector given as columns; the covariance, a small matrix, is inverted once in the driver."""
+    inverse, (_, log_det) = np.linalg.inv(covariance), np.linalg.slogdet(covariance)
+    d = [c - float(m) for c, m in zip(x, mean, strict=True)]
+    square = sum((a * b * float(inverse[i, j]) for i, a in enumerate(d) for j, b in enumerate(d)), F.lit(0.0))
+    return F.exp(-0.5 * (square + float(log_det) + len(d) * math.log(2 * math.pi)))

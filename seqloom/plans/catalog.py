@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from seqloom.plans import learning, statistics, tables  # noqa: E402,F401
+from seqloom.plans import learning, statistics, tables, vectors  # noqa: E402,F401
