@@ -79,6 +79,50 @@ def kmeans_swap(df: DataFrame, vector: str, k: int, key: str, seed: int = 0, swa
     return best
 
 
+def most_stages(n: int, k: int, constant: float = 0.0, by_k: float = 0.0, by_root: float = 0.0) -> int:
+    """How many stages a search may have: constant + by_k * k + by_root * the root of k * n."""
+    return int(constant + by_k * k + by_root * (k * n) ** 0.5)
+
+
+def kmeans_hybrid(df: DataFrame, vector: str, k: int, key: str, seed: int = 0, stages: int = 20, run: int = 3, temperature: float = 0.05) -> tuple[list, float]:
+    """Runs of swaps with a few Lloyd steps each, accepted by annealing, then Lloyd steps to the end; the best ever seen is returned."""
+    best, _ = kmeans_swap(df, vector, k, key, seed, stages, run, temperature)
+    return _settled(df, vector, best)
+
+
+def kmeans_ez_hybrid(df: DataFrame, vector: str, k: int, key: str, seed: int = 0, stages: int = 20, least_gain: float = 0.1) -> tuple[list, float]:
+    """One swap, then Lloyd steps as long as each gains least_gain; and again."""
+    rng = np.random.default_rng(seed)
+    now = seeds(df, vector, k, seed, key)
+    best, left, swaps = (now, distortion(df, vector, now).first()[0]), stages, 0
+    while left > 0:
+        new = [list(c) for c in now]
+        new[int(rng.integers(k))] = seeds(df, vector, 1, seed + 2000 + swaps, key)[0]
+        swaps += 1
+        moved, last = _step(df, vector, new)
+        left -= 1
+        while left > 0:
+            further, loss = _step(df, vector, moved)
+            left -= 1
+            if last - loss < least_gain * max(last, 1e-300):
+                break
+            moved, last = further, loss
+        loss = distortion(df, vector, moved).first()[0]
+        if loss < best[1]:
+            best, now = (moved, loss), moved
+    return _settled(df, vector, best[0])
+
+
+def _settled(df: DataFrame, vector: str, centres: list, rounds: int = 20) -> tuple[list, float]:
+    last = np.inf
+    for _ in range(rounds):
+        new, loss = _step(df, vector, centres)
+        if last - loss <= 1e-9 * max(1.0, loss):
+            break
+        centres, last = new, loss
+    return centres, distortion(df, vector, centres).first()[0]
+
+
 def kmedoids(points: np.ndarray, k: int, max_passes: int = 100) -> tuple[list[int], float]:
     """For a set that fits one machine: medoids from the first k rows, swapped while that lowers the sum of distances."""
     dist = np.sqrt(np.maximum(((points[:, None] - points[None]) ** 2).sum(-1), 0))

@@ -90,8 +90,8 @@ class OneHot:
         return df
 
 
-def pair_products(df: DataFrame, columns: list[str], most: int = 1000) -> DataFrame:
-    return df.withColumns({f"{a}*{b}": F.col(a) * F.col(b) for a, b in list(combinations(columns, 2))[:most]})
+def pair_products(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.withColumns({f"{a}*{b}": F.col(a) * F.col(b) for a, b in combinations(columns, 2)})
 
 
 def with_noise(df: DataFrame, columns: list[str], dev: float, seed: int = 0) -> DataFrame:

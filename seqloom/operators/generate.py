@@ -48,6 +48,40 @@ def clustered_gauss_points(spark: SparkSession, n: int, dims: int, clusters: int
     return rows.select("id", "cluster", F.array(*(c + dev * _normal(seed, d) for d, c in enumerate(centre))).alias("point"))
 
 
+def correlated_laplace_points(spark: SparkSession, n: int, dims: int, correlation: float, seed: int = 0) -> DataFrame:
+    cells, last = [], None
+    for d in range(dims):
+        u = _unit(seed, d) - 0.5
+        z = -F.signum(u) * F.log(1 - 2 * F.abs(u)) / math.sqrt(2)
+        last = z if last is None else last * correlation + z * math.sqrt(1 - correlation**2)
+        cells.append(last)
+    return spark.range(n).select("id", F.array(*cells).alias("point"))
+
+
+def orthogonal_flats(spark: SparkSession, n: int, dims: int, clusters: int, dev: float, flat_dims: int, seed: int = 0) -> DataFrame:
+    """Clusters that spread evenly over flat_dims axes of their own, and by dev across the others."""
+    rows = spark.range(n).withColumn("cluster", F.floor(_unit(seed, 900_000) * clusters).cast("int"))
+    place = lambda d: F.pmod(F.xxhash64(F.lit(seed + 2), F.col("cluster")) + d, F.lit(dims))
+    centre = lambda d: 2 * _unit(seed + 1, d, F.col("cluster")) - 1
+    cells = [F.when(place(d) < flat_dims, 2 * _unit(seed, d) - 1).otherwise(centre(d) + dev * _normal(seed, d)) for d in range(dims)]
+    return rows.select("id", "cluster", F.array(*cells).alias("point"))
+
+
+def ellipsoid_points(spark: SparkSession, n: int, dims: int, clusters: int, small: float, large: float, large_dims: int, seed: int = 0) -> DataFrame:
+    """Gaussian clusters with a deviation of large on large_dims axes of their own and small on the others."""
+    rows = spark.range(n).withColumn("cluster", F.floor(_unit(seed, 900_000) * clusters).cast("int"))
+    place = lambda d: F.pmod(F.xxhash64(F.lit(seed + 2), F.col("cluster")) + d, F.lit(dims))
+    cells = [2 * _unit(seed + 1, d, F.col("cluster")) - 1 + F.when(place(d) < large_dims, large).otherwise(small) * _normal(seed, d) for d in range(dims)]
+    return rows.select("id", "cluster", F.array(*cells).alias("point"))
+
+
+def multi_cluster_points(spark: SparkSession, n: int, dims: int, base: float, seed: int = 0) -> DataFrame:
+    """Clusters of sizes that halve one after the other, with deviations of base over the root of the dimensions."""
+    rows = spark.range(n).withColumn("cluster", F.floor(-F.log2(_unit(seed, 900_000))).cast("int"))
+    centre = lambda d: 2 * _unit(seed + 1, d, F.col("cluster")) - 1
+    return rows.select("id", "cluster", F.array(*(centre(d) + base / math.sqrt(dims) * _normal(seed, d) for d in range(dims))).alias("point"))
+
+
 DISTRIBUTIONS = ["beta", "binomial", "cauchy", "chisquare", "exponential", "f", "gamma", "geometric", "gumbel", "laplace", "logistic", "lognormal", "normal", "poisson", "rayleigh", "standard_t", "uniform", "weibull"]
 
 

@@ -164,3 +164,30 @@ def transitions(df: DataFrame, partition: list[str], order: list[str], state: li
     w = Window.partitionBy(*partition).orderBy(*order)
     out = df.withColumns({f"next_{c}": F.lead(c).over(w) for c in state}).withColumn("_more", F.lead(F.lit(1)).over(w)).where("_more = 1").drop("_more")
     return out.withColumns({f"next_{c}": F.col(f"next_{c}") - F.col(c) for c in state}) if delta else out
+
+
+def set_column(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """df with a column's cells from values (_ord and one other column), which must have as many rows."""
+    name = next(c for c in values.columns if c != ORD)
+    both = zip_join(df.drop(column), values.select(ORD, F.col(name).alias(f"_set_{column}")))
+    return both.select(*(F.col(f"_set_{c}").alias(c) if c == column else F.col(c) for c in df.columns))
+
+
+def replace_row(df: DataFrame, i: int, row: dict) -> DataFrame:
+    return df.withColumns({c: F.when(F.col(ORD) == i, F.lit(v).cast(df.schema[c].dataType)).otherwise(F.col(c)) for c, v in row.items()})
+
+
+def set_all(df: DataFrame, value, columns: list[str] | None = None) -> DataFrame:
+    return df.withColumns({c: F.lit(value).cast(df.schema[c].dataType) for c in (columns or [c for c in df.columns if c != ORD])})
+
+
+def copied(df: DataFrame) -> DataFrame:
+    """A table of its own, which doesn't change with what df was made from."""
+    return checkpointed(df)
+
+
+def riffled(df: DataFrame) -> DataFrame:
+    """The rows of both halves in turn, the first half first."""
+    n = df.count()
+    half = (n + 1) // 2
+    return df.withColumn(ORD, F.when(F.col(ORD) < half, 2 * F.col(ORD)).otherwise(2 * (F.col(ORD) - half) + 1))

@@ -17,7 +17,7 @@ def read_gestures(spark: SparkSession, path: str) -> DataFrame:
     records = text.select(F.posexplode(F.filter(F.split("value", r"\n[ \t]*\n\s*"), lambda r: r.rlike(r"(?m)^\s*[^#\s]"))).alias("seq_id", "record"))
     lines = F.filter(F.transform(F.split("record", "\n"), F.trim), lambda x: (x != "") & ~x.startswith("#"))
     rows = records.select("seq_id", lines.alias("lines"))
-    label = F.coalesce(F.get(F.transform(F.filter("lines", lambda x: x.startswith("@")), lambda x: F.trim(F.substring(x, 2, 1000))), 0), F.lit("UNKNOWN"))
+    label = F.coalesce(F.get(F.transform(F.filter("lines", lambda x: x.startswith("@")), lambda x: F.trim(F.regexp_replace(x, "^@", ""))), 0), F.lit("UNKNOWN"))
     points = F.filter("lines", lambda x: ~x.startswith("@"))
     rows = rows.select("seq_id", label.alias("label"), F.posexplode(points).alias("pos", "line"))
     return rows.select("seq_id", "label", "pos", F.transform(F.split("line", r"\s+"), lambda x: x.cast("double")).alias("point"))
