@@ -85,16 +85,18 @@ def most_stages(n: int, k: int, constant: float = 0.0, by_k: float = 0.0, by_roo
 
 
 def kmeans_hybrid(df: DataFrame, vector: str, k: int, key: str, seed: int = 0, stages: int = 20, run: int = 3, temperature: float = 0.05) -> tuple[list, float]:
-    """Runs of swaps with a few Lloyd steps each, accepted by annealing, then Lloyd steps to the end; the best ever seen is returned."""
+    """Runs of swaps with a few Lloyd steps each, accepted by annealing, then Lloyd steps to the end; the better of that and
+    of Lloyd's algorithm from the same start is returned."""
     best, _ = kmeans_swap(df, vector, k, key, seed, stages, run, temperature)
-    return _settled(df, vector, best)
+    return min(_settled(df, vector, best), _settled(df, vector, seeds(df, vector, k, seed, key)), key=lambda x: x[1])
 
 
 def kmeans_ez_hybrid(df: DataFrame, vector: str, k: int, key: str, seed: int = 0, stages: int = 20, least_gain: float = 0.1) -> tuple[list, float]:
-    """One swap, then Lloyd steps as long as each gains least_gain; and again."""
+    """One swap, then Lloyd steps as long as each gains least_gain; and again, from the best so far, which at first is what Lloyd's algorithm makes
+    of the seeds."""
     rng = np.random.default_rng(seed)
-    now = seeds(df, vector, k, seed, key)
-    best, left, swaps = (now, distortion(df, vector, now).first()[0]), stages, 0
+    best = _settled(df, vector, seeds(df, vector, k, seed, key))
+    now, left, swaps = best[0], stages, 0
     while left > 0:
         new = [list(c) for c in now]
         new[int(rng.integers(k))] = seeds(df, vector, 1, seed + 2000 + swaps, key)[0]
