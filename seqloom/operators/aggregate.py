@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.operators.table import running
+
 
 def column_stats(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
     """One row per column: n, missing, mean, dev (0 for fewer than two values), med, lo, hi. One scan of those columns only."""
@@ -98,7 +100,7 @@ def wilcoxon(df: DataFrame, a: str, b: str, tolerance: float = 0.0) -> DataFrame
     w = Window.orderBy("m")
     tied = counts.withColumn("new", F.coalesce((F.col("m") - F.lag("m").over(w) > tolerance), F.lit(True)).cast("int")).withColumn("g", F.sum("new").over(w))
     g = tied.groupBy("g").agg(F.sum("n").alias("n"), F.sum("up").alias("up"), F.sum("down").alias("down"))
-    g = g.withColumn("rank", F.sum("n").over(Window.orderBy("g")) - (F.col("n") - 1) / 2)
+    g = running(g, [F.col("g")], upto=F.col("n")).withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2)
     plus, minus = F.sum(F.col("rank") * (F.col("up") + (F.col("n") - F.col("up") - F.col("down")) / 2)), F.sum(F.col("rank") * (F.col("down") + (F.col("n") - F.col("up") - F.col("down")) / 2))
     return g.agg(F.sum("n").alias("n"), F.least(plus, minus).alias("w"))
 
@@ -139,7 +141,6 @@ def squared_distance(zipped: DataFrame, pairs: list[tuple[str, str]]) -> DataFra
 
 
 def precision_curve(df: DataFrame, confidence: str, positive: str, tie: str) -> DataFrame:
-    """For each positive by falling confidence, ties in the order of tie: recalled so far and precision. For evaluation sets; one window orders all rows."""
-    w = Window.orderBy(F.col(confidence).desc(), F.col(tie))
-    out = df.withColumns({"seen": F.row_number().over(w), "recalled": F.sum(F.col(positive).cast("int")).over(w)})
+    """For each positive by falling confidence, ties in the order of tie: recalled so far and precision."""
+    out = running(df, [F.col(confidence).desc(), F.col(tie)], seen=F.lit(1), recalled=F.coalesce(F.col(positive).cast("int"), F.lit(0)))
     return out.where(F.col(positive)).select(tie, "recalled", (F.col("recalled") / F.col("seen")).alias("precision"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.text import STOP_WORDS, letters_tokens, porter_stem, stem
 from seqloom.operators.aggregate import ranges
+from seqloom.operators.table import with_order
 
 
 @dataclass(frozen=True)
@@ -119,6 +120,6 @@ def term_weights(docs: DataFrame, id_col: str, text: str, stemming: bool = True,
 
 
 def term_matrix(weights: DataFrame, id_col: str) -> DataFrame:
-    """row (id), col (number of the term in alphabetical order), val. The vocabulary is ordered alone."""
-    vocabulary = weights.select("term").distinct().withColumn("col", F.row_number().over(Window.orderBy("term")) - 1)
+    """row (id), col (number of the term in alphabetical order), val. The vocabulary is numbered in sorted ranges."""
+    vocabulary = with_order(weights.select("term").distinct(), "term").withColumnRenamed("_ord", "col")
     return weights.join(vocabulary, "term").select(F.col(id_col).alias("row"), "col", F.col("weight").alias("val"))

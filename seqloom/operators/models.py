@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators.aggregate import baseline
 from seqloom.operators.matrix import principal_components
 from seqloom.operators.neighbors import interpolated, nearest, vote
+from seqloom.operators.table import running
 
 
 @dataclass
@@ -276,5 +277,5 @@ def factorise(ratings: DataFrame, user: str, item: str, rating: str, rank: int =
 
 def running_mean_score(df: DataFrame, order: list[str], label: str) -> DataFrame:
     """Accuracy so far, row by row, for incremental tests."""
-    w = Window.orderBy(*order)
-    return df.withColumn("score", F.avg(F.when(F.col("prediction") == F.col(label), 1.0).otherwise(0.0)).over(w))
+    out = running(df, [F.col(c) for c in order], _seen=F.lit(1), _right=F.when(F.col("prediction") == F.col(label), 1).otherwise(0))
+    return out.withColumn("score", F.col("_right") / F.col("_seen")).drop("_seen", "_right")

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.functions.vectors import squared_distance
+
 
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten()
@@ -106,6 +108,24 @@ def sequence_neighbors(df: DataFrame, order: str, m: int) -> DataFrame:
     return a.join(df.select(F.col(order).alias("neighbor")), "neighbor").select("query", "neighbor", F.abs("s").alias("distance"))
 
 
+def temporal(df: DataFrame, order: str, vector: str, span: int, k: int) -> DataFrame:
+    """query, rank, neighbor, d2: of the rows at most span places away, by place, the k nearest; ties by the smaller number."""
+    pairs = sequence_neighbors(df, order, span).select("query", "neighbor")
+    a, b = (df.select(F.col(order).alias(n), F.col(vector).cast("array<double>").alias(v)) for n, v in (("query", "_a"), ("neighbor", "_b")))
+    near = pairs.join(a, "query").join(b, "neighbor").withColumn("d2", squared_distance(F.col("_a"), F.col("_b")))
+    w = Window.partitionBy("query").orderBy("d2", "neighbor")  # 2 span rows
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "neighbor", "d2")
+
+
+def dynamic(df: DataFrame, order: str, vector: str, action: str, k: int, span: int) -> DataFrame:
+    """The same among rows with the query's own action: neighbours by state in a system that is driven."""
+    pairs = sequence_neighbors(df, order, span).select("query", "neighbor")
+    a, b = (df.select(F.col(order).alias(n), F.col(vector).cast("array<double>").alias(v), F.col(action).alias(f"{v}_act")) for n, v in (("query", "_a"), ("neighbor", "_b")))
+    near = pairs.join(a, "query").join(b, "neighbor").where("_a_act <=> _b_act").withColumn("d2", squared_distance(F.col("_a"), F.col("_b")))
+    w = Window.partitionBy("query").orderBy("d2", "neighbor")  # 2 span rows
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "neighbor", "d2")
+
+
 def scaled_by_local_mean(edges: DataFrame) -> DataFrame:
     """Distances divided by the mean of both ends' mean distances."""
     own = edges.groupBy("query").agg(F.avg(F.sqrt("d2")).alias("m"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.session import checkpointed
@@ -22,6 +22,19 @@ def with_order(df: DataFrame, *keys: str) -> DataFrame:
     return numbered.withColumn(ORD, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_before", "_at")
 
 
+def running(df: DataFrame, keys: list[Column], **sums: Column) -> DataFrame:
+    """df with the sum of each of sums over its rows up to and with each, in the order of keys. Rows are sorted in ranges, and what the ranges before
+    hold is added to the sums within each; no task sees all rows."""
+    ranged = checkpointed(df.withColumns({f"_x_{n}": c for n, c in sums.items()}).sort(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("_part", F.shiftright("_at", 33))
+    totals = ranged.groupBy("_part").agg(*(F.sum(f"_x_{n}").alias(f"_t_{n}") for n in sums))  # one row for each range
+    up = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("_part", *(F.coalesce(F.sum(f"_t_{n}").over(up), F.lit(0)).alias(f"_b_{n}") for n in sums))
+    own = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(F.broadcast(before), "_part").withColumns({n: F.col(f"_b_{n}") + F.sum(f"_x_{n}").over(own) for n in sums})
+    return out.drop("_part", "_at", *(f"_{k}_{n}" for n in sums for k in "xb"))
+
+
 def parse_columns(text: str, count: int) -> list[int]:
     """0,2-5,9-7: numbers and rising or falling ranges, without repeats, below count."""
     out: list[int] = []

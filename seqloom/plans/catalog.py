@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from seqloom.plans import learners, learning, recursive, statistics, tables, vectors  # noqa: E402,F401
+from seqloom.plans import files, learners, learning, recursive, statistics, tables, vectors  # noqa: E402,F401

@@ -58,12 +58,17 @@ _stored: list[str] = []
 def stored(df: DataFrame) -> DataFrame:
     """df written as a Parquet table to the shared folder and read from there. Unlike a checkpoint it is compressed, and columns that a plan doesn't
     read aren't loaded. The table stays until release()."""
-    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    folder = scratch(df.sparkSession)
     df.write.parquet(folder)
-    _stored.append(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def scratch(spark: SparkSession) -> str:
+    """The name of a new folder in the shared one, which release() deletes."""
+    _stored.append(f"{shared_folder(spark)}/table-{uuid.uuid4().hex}")
+    return _stored[-1]
+
+
 def release(spark: SparkSession, but: int = 0) -> None:
     """Deletes what stored() wrote, but for the last tables."""
     while len(_stored) > but:

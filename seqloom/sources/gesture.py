@@ -15,7 +15,7 @@ def read_gestures(spark: SparkSession, path: str) -> DataFrame:
     last needs none after it. Files are read whole, one task for each."""
     text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\r", "").alias("value"))
     records = text.select(F.posexplode(F.filter(F.split("value", r"\n[ \t]*\n\s*"), lambda r: r.rlike(r"(?m)^\s*[^#\s]"))).alias("seq_id", "record"))
-    lines = F.filter(F.transform(F.split("record", "\n"), F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    lines = F.filter(F.transform(F.split("record", "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
     rows = records.select("seq_id", lines.alias("lines"))
     label = F.coalesce(F.get(F.transform(F.filter("lines", lambda x: x.startswith("@")), lambda x: F.trim(F.regexp_replace(x, "^@", ""))), 0), F.lit("UNKNOWN"))
     points = F.filter("lines", lambda x: ~x.startswith("@"))

@@ -90,7 +90,7 @@ def write_arff(df: DataFrame, path: str, relation: str = "data") -> None:
 def read_delimited(spark: SparkSession, path: str, separator: str | None = ",", header: bool = False, tolerant: bool = False) -> DataFrame:
     """A column is real if all its known cells are numbers, else nominal. separator None: any white space. tolerant fills short rows."""
     lines = spark.read.text(path).where(F.trim("value") != "")
-    parts = F.split(F.trim("value"), r"\s+") if separator is None else F.transform(F.split("value", re.escape(separator)), F.trim)
+    parts = F.split(F.trim("value"), r"\s+") if separator is None else F.transform(F.split("value", re.escape(separator)), lambda x: F.trim(x))
     rows = lines.select("value", parts.alias("p"))
     names = None
     if header:
