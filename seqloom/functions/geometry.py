@@ -101,3 +101,26 @@ def inverse_of(m: pd.Series) -> pd.Series:
 def spectrum(v: pd.Series) -> pd.Series:
     """Real and imaginary parts in turn of the Fourier transform of a real signal."""
     return v.map(lambda x: np.fft.fft(x).view(float), na_action="ignore")
+
+
+def spectrum_2d(width: int):
+    """A function of a flat real image by row: real and imaginary parts in turn of its two-dimensional Fourier transform, by row."""
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: np.fft.fft2(np.reshape(x, (-1, width))).ravel().view(float), na_action="ignore")
+
+    return run
+
+
+def to_pixels(v: Column, low: float, high: float) -> Column:
+    """Values in threes as red, green and blue of one number each, low as 0 and high as 255."""
+    level = lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x - low) * (256 / (high - low))))).cast("int")
+    pixels = F.sequence(F.lit(0), F.floor(F.size(v) / 3).cast("int") - 1)
+    return F.transform(pixels, lambda i: level(F.get(v, 3 * i)) * 65536 + level(F.get(v, 3 * i + 1)) * 256 + level(F.get(v, 3 * i + 2)))
+
+
+def from_pixels(p: Column, low: float, high: float) -> Column:
+    """The middles of the levels of each pixel's red, green and blue."""
+    value = lambda x: (x.cast("double") + 0.5) * ((high - low) / 256) + low
+    return F.flatten(F.transform(p, lambda x: F.array(value(F.floor(x / 65536)), value(F.floor(x / 256) % 256), value(x % 256))))

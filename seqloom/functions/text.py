@@ -136,3 +136,14 @@ def wrapped(text: Column, width: int) -> Column:
         return F.when(fits, F.concat(F.slice(lines, F.lit(1), F.greatest(F.lit(0), F.size(lines) - 1)), F.array(F.concat_ws(" ", last, w)))).otherwise(F.concat(lines, F.array(w)))
 
     return F.aggregate(words, F.array().cast("array<string>"), place)
+
+
+def chomp(text: Column) -> Column:
+    """text without line ends at its end."""
+    return F.regexp_replace(text, "[\r\n]+$", "")
+
+
+def tag_attributes(tag: Column) -> Column:
+    """The attributes of a tag with double quotes, as a map. Names must not come again, as in XML."""
+    names, values = (F.regexp_extract_all(tag, F.lit(r'([A-Za-z_][A-Za-z0-9_.:-]*)\s*=\s*"([^"]*)"'), F.lit(i)) for i in (1, 2))
+    return F.map_from_arrays(names, values)

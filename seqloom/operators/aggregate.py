@@ -144,3 +144,11 @@ def precision_curve(df: DataFrame, confidence: str, positive: str, tie: str) ->
     """For each positive by falling confidence, ties in the order of tie: recalled so far and precision."""
     out = running(df, [F.col(confidence).desc(), F.col(tie)], seen=F.lit(1), recalled=F.coalesce(F.col(positive).cast("int"), F.lit(0)))
     return out.where(F.col(positive)).select(tie, "recalled", (F.col("recalled") / F.col("seen")).alias("precision"))
+
+
+def label_information(df: DataFrame, label: str, nominal: bool = True) -> DataFrame:
+    """information: the entropy in bits of a nominal label, or the variance of a real one."""
+    if not nominal:
+        return df.agg(F.coalesce(F.var_samp(F.col(label).cast("double")), F.lit(0.0)).alias("information"))
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("information"))

@@ -194,3 +194,48 @@ def homogeneous_points(spark, sf_dir):
 def fourier(spark, sf_dir):
     df = _vectors(spark, sf_dir).select("vec_id", geometry.spectrum(F.col("a")).alias("s"))
     return df.select("vec_id", *_row({"re1": F.get("s", 2), "im1": F.get("s", 3), "re5": F.get("s", 10), "re0": F.get("s", 0)}, 5))
+
+
+_LEVEL = "greatest(0, least(255, floor((a[{i}] + 1) * 128)))"
+
+
+@query("pixels", _V + f"""SELECT vec_id, ({_LEVEL.format(i=1)} * 65536 + {_LEVEL.format(i=2)} * 256 + {_LEVEL.format(i=3)})::INT AS first, (len(a) // 3)::INT AS n, round(({_LEVEL.format(i=5)} + 0.5) / 128 - 1, 6) AS fifth FROM v""")
+def pixels(spark, sf_dir):
+    p = geometry.to_pixels(F.col("a"), -1.0, 1.0)
+    return _vectors(spark, sf_dir).select("vec_id", F.get(p, 0).alias("first"), F.size(p).alias("n"), F.round(F.get(geometry.from_pixels(p, -1.0, 1.0), 4), 6).alias("fifth"))
+
+
+@query("fourier_2d", _V + f"""SELECT vec_id, round({_sum('a[i] * cos(2 * pi() * (((i - 1) // 8) + 2 * ((i - 1) % 8)) / 8)')}, 5) AS re12, round(-{_sum('a[i] * sin(2 * pi() * (((i - 1) // 8) + 2 * ((i - 1) % 8)) / 8)')}, 5) AS im12 FROM v WHERE len(a) = 64""")
+def fourier_2d(spark, sf_dir):
+    """Of vectors of 64 values as images of 8 x 8: the coefficient of row 1 and column 2."""
+    df = _vectors(spark, sf_dir).where(F.size("a") == 64).select("vec_id", geometry.spectrum_2d(8)(F.col("a")).alias("s"))
+    return df.select("vec_id", *_row({"re12": F.get("s", 20), "im12": F.get("s", 21)}, 5))
+
+
+@query("tag_values", "SELECT page_id, regexp_extract(html, '<[a-zA-Z]+ +[a-zA-Z_]+=\"([^\"]*)\"', 1) AS first_value, length(regexp_replace(html, '[\r\n]+$', ''))::INT AS chomped FROM pages")
+def tag_values(spark, sf_dir):
+    from seqloom.functions import text
+
+    tag = F.regexp_extract("html", '<[a-zA-Z]+ +[a-zA-Z_]+="[^"]*"', 0)
+    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(F.get(F.map_values(text.tag_attributes(tag)), 0), F.lit("")).alias("first_value"), F.length(text.chomp(F.col("html"))).alias("chomped"))
+
+
+@query("label_information", "WITH c AS (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1), t AS (SELECT sum(n) AS t FROM c) SELECT round(-sum(n / t * log2(n / t)), 6) AS bits, (SELECT round(var_samp(l_quantity), 6) FROM lineitem) AS variance FROM c, t")
+def label_information(spark, sf_dir):
+    from seqloom.operators import aggregate
+
+    df = table(spark, sf_dir, "lineitem")
+    bits = aggregate.label_information(df, "l_returnflag").select(F.round("information", 6).alias("bits"))
+    return bits.crossJoin(aggregate.label_information(df, "l_quantity", False).select(F.round("information", 6).alias("variance")))  # one row each
+
+
+@query("plot_marks", """SELECT (SELECT count(*) FROM (SELECT DISTINCT least(63, floor((l_quantity - lo) * 64 / w)), least(63, floor((l_discount - ld) * 64 / wd)) FROM lineitem, (SELECT min(l_quantity) AS lo, max(l_quantity) - min(l_quantity) AS w, min(l_discount) AS ld, max(l_discount) - min(l_discount) AS wd FROM lineitem)))::INT AS scatter,
+(SELECT count(DISTINCT l_returnflag) FROM lineitem)::INT AS bars, 9 AS correlations""")
+def plot_marks(spark, sf_dir):
+    """How many marks each plot has."""
+    from seqloom.operators import plots
+
+    df = table(spark, sf_dir, "lineitem").select("l_returnflag", *(F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_discount", "l_tax")))
+    flags = [(r[0], r[1]) for r in df.groupBy("l_returnflag").count().orderBy("l_returnflag").collect()]
+    drawn = (plots.scatter(df, "l_quantity", "l_discount"), plots.bars(flags), plots.correlations(df, ["l_quantity", "l_discount", "l_tax"]))
+    return spark.createDataFrame([tuple(x.count("<rect") for x in drawn)], "scatter int, bars int, correlations int")
