@@ -106,7 +106,7 @@ def _told(spans: Column, sorted_keys: Column) -> Column:
 
 
 def _disclosing(seen: DataFrame, disclosure: float, chance: float) -> DataFrame:
-    """term: the hashes of the terms that disclose an entity."""
+    """term, n_term (documents): the hashes of the terms that disclose an entity."""
     total = float(max(1, seen.count()))
     holders = seen.where(F.size("base") > 0)
     firsts = holders.groupBy("raw").agg(F.min("row").alias("row")).select("row", F.lit(1).alias("first"))
@@ -133,7 +133,7 @@ def _disclosing(seen: DataFrame, disclosure: float, chance: float) -> DataFrame:
 
     pmi = F.log(F.lit(total) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     told = (pmi >= disclosure * F.log(F.lit(total) / F.col("n_entity"))) & (F.col("n_texts") * (pmi - 1) >= -math.log(chance))
-    return close.unionByName(wide).join(n_term, "term").where(told).select("term").distinct()
+    return close.unionByName(wide).join(n_term, "term").where(told).select("term", "n_term").distinct()
 
 
 def find_private(docs: DataFrame, disclosure: float = 0.9, chance: float = 0.01, near: int = 16) -> DataFrame:
@@ -150,8 +150,13 @@ def find_private(docs: DataFrame, disclosure: float = 0.9, chance: float = 0.01,
     around = F.when(F.size("base") > 0, _near(F.col("_tokens"), F.col("base"), near))
     seen = checkpointed(rows.select("doc_id", "raw", "base", own.alias("own"), around.alias("near"), F.monotonically_increasing_id().alias("row")))
 
-    telling = few(checkpointed(_disclosing(seen, disclosure, chance)))
-    gone = seen.select("doc_id", "raw", F.explode("own").alias("term")).join(telling, "term").groupBy("doc_id", "raw").agg(F.array_sort(F.collect_set("term")).alias("gone"))  # of one document
+    telling = checkpointed(_disclosing(seen, disclosure, chance))
+    terms_of = lambda rows, some: rows.select("doc_id", "raw", F.explode("own").alias("term")).join(few(some, F.lit(2)), "term")
+    held = checkpointed(terms_of(seen.where(F.size("base") > 0), telling))
+    # most of these terms stand in documents with an entity only; only the others are looked for elsewhere
+    n_held = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_held"))
+    wide = checkpointed(telling.join(n_held, "term", "left").where(F.col("n_term") > F.coalesce("n_held", F.lit(0))).select("term", "n_term"))
+    gone = held.unionByName(terms_of(seen.where(F.size("base") == 0), wide)).groupBy("doc_id", "raw").agg(F.array_sort(F.collect_set("term")).alias("gone"))  # of one document
     gone = checkpointed(gone.select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw"), "gone"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("raw") == F.col("_raw"))
     affected = slim.join(few(gone, F.size("gone") + 4), same).withColumn("base", entities(F.col("_text"))).withColumn("_masked", _masked(F.col("_text"), F.col("base")))
