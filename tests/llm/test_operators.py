@@ -499,11 +499,12 @@ LONG = [
 
 
 def test_long_texts(spark):
-    """A megabyte of what the patterns like least takes no stack and time in proportion."""
+    """A megabyte of what the patterns like least takes no stack and time in proportion. Counts are stated, as plain expressions take quadratic time."""
     df = spark.createDataFrame(list(enumerate(LONG)), "doc_id long, text string").repartition(8)
-    assert {r.doc_id: r.n for r in pii.find_private(df).select("doc_id", F.size("base").alias("n")).collect()} == {i: sum(brute.private(t)[:4]) for i, t in enumerate(LONG)}
+    private, secret = {1: 1, 3: 125_000, 4: 50_000}, {0: 1, 6: 1, 8: 1, 9: 1, 10: 1, 11: 20_000}
+    assert {r.doc_id: r.n for r in pii.find_private(df).select("doc_id", F.size("base").alias("n")).collect()} == {i: private.get(i, 0) for i in range(len(LONG))}
     base = F.size(F.filter("secrets", lambda s: s["kind"].isin("assign", "access", "hex"))).alias("n")
-    assert {r.doc_id: r.n for r in secrets.find_secrets(df).select("doc_id", base).collect()} == {i: sum(brute.secrets(t)[:3]) for i, t in enumerate(LONG)}
+    assert {r.doc_id: r.n for r in secrets.find_secrets(df).select("doc_id", base).collect()} == {i: secret.get(i, 0) for i in range(len(LONG))}
 
 
 def test_overlapping_spans_are_replaced_whole(spark):
