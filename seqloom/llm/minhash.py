@@ -6,16 +6,19 @@ w, whose points above w are thinned out, so that two texts agree in a register w
 similarity. A process ends as soon as it passes the text's largest register.
 
 Signatures are cut into bands. In a bucket of texts that share a band, all are compared with one, the pivot; those outside its class are then
-compared with the bucket's members outside theirs, but for pairs that the triangle inequality of the Jaccard distance rules out, if there
-are few outsiders. A bucket with many (pages that share half their text, say) is split: its texts' shingles are ordered, those that the
+compared with the bucket's members outside theirs: few outsiders pair by pair, but for pairs that the triangle inequality of the Jaccard
+distance rules out; more of them in blocks, which read each text once and take all overlaps at once as products of matrices. A bucket with
+very many (pages that share half their text, say) is split: its texts' shingles are ordered, those that the
 pivot has last, and texts that could be near share one of the first shingles of theirs (prefix filtering, which is exact). The texts that
-share one are a bucket of the next round, with a pivot of its own. So no link between texts that share a bucket is lost, a bucket of
-near copies costs one comparison for each, and no round makes more pairs than a constant times its rows, but the last, which compares
-what is left. Comparisons are exact multiset overlaps. Equal texts are one node.
+share one are a bucket of the next round, with a pivot of its own; but if that would leave much of the work (edits of one text that the
+pivot is far from), the bucket is compared in blocks. So no link between texts that share a bucket is lost, and a bucket of near copies costs
+one comparison for each. Blocks are quadratic in the outsiders, at well below a microsecond a pair. Comparisons are exact multiset overlaps. Equal texts are one node.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -172,18 +175,99 @@ def similarities(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return _meetings(pairs, texts, size, similarity, ("j double", pa.float64()))
 
 
-def _links(cand: DataFrame, texts: DataFrame, threshold: float, size: int, outsiders: int, rounds: int) -> DataFrame:
-    """(node, component) of the classes that links between members of a bucket make. cand: bucket, node, n, checkpointed."""
+def overlaps(element: np.ndarray, owner: np.ndarray, left: np.ndarray, right: np.ndarray, rare: int = 8, columns: int = 4096) -> np.ndarray:
+    """left x right: how many elements two texts share. element, owner: the distinct (element, text); left, right: numbers of texts."""
+    docs = int(max(owner.max(initial=-1), left.max(initial=-1), right.max(initial=-1))) + 1
+    row, col = np.full(docs, -1), np.full(docs, -1)
+    row[left], col[right] = np.arange(len(left)), np.arange(len(right))
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], owner[order]
+    at = np.flatnonzero(np.append(True, element[1:] != element[:-1])) if len(element) else np.zeros(0, np.int64)
+    held = np.diff(np.append(at, len(element)))
+    common = np.zeros((len(left), len(right)), np.int64)
+    few = np.repeat((held > 1) & (held <= rare), held)
+    e, d = element[few], owner[few]
+    for shift in range(1, rare):  # elements of few texts: pair by pair
+        k = np.flatnonzero(e[shift:] == e[:-shift])
+        for x, y in ((d[k], d[k + shift]), (d[k + shift], d[k])):
+            met = (row[x] >= 0) & (col[y] >= 0)
+            place, n = np.unique(row[x[met]] * len(right) + col[y[met]], return_counts=True)
+            common.reshape(-1)[place] += n
+    own = np.flatnonzero((row >= 0) & (col >= 0))
+    many = np.repeat(held > rare, held)
+    d, rank = owner[many], np.repeat(np.arange(int((held > rare).sum())), held[held > rare])
+    end = int(rank[-1]) + 1 if len(rank) else 0
+    for a in range(0, end, columns):
+        i, j = np.searchsorted(rank, [a, a + columns])
+        there = np.zeros((docs, min(columns, end - a)), np.float32)
+        there[d[i:j], rank[i:j] - a] = 1
+        common += (there[left] @ there[right].T).astype(np.int64)
+    common[row[own], col[own]] = 0  # a text and itself
+    return common
+
+
+def _blocks(buckets: DataFrame, texts: DataFrame, threshold: float, size: int, most: int = 500_000) -> DataFrame:
+    """(a, b, j) of similarity threshold between the outsiders of a bucket and its members of other components. buckets: bucket, node, n, component,
+    out. Both are cut into blocks of about most shingles, where a text counts as 400 more; a text goes once to each pair of blocks that it is part of."""
+    cut = lambda n: F.greatest(F.lit(1), F.ceil(F.coalesce(n, F.lit(0)) / most)).cast("long")
+    total = buckets.groupBy("bucket").agg(cut(F.sum(F.when(F.col("out"), F.col("n") + 400))).alias("p"), cut(F.sum(F.col("n") + 400)).alias("q"))
+    rows = buckets.join(total, "bucket").withColumns({"x": F.pmod(F.xxhash64("node", "bucket"), "p"), "y": F.pmod(F.xxhash64("bucket", "node"), "q")})
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    as_left = F.when(F.col("out"), F.transform(upto("q"), lambda q: F.struct(F.col("x").alias("p"), q.alias("q")))).otherwise(F.array().cast("array<struct<p:bigint,q:bigint>>"))
+    as_right = F.transform(upto("p"), lambda p: F.struct(p.alias("p"), F.col("y").alias("q")))
+    rows = rows.withColumn("cell", F.explode(F.array_distinct(F.concat(as_left, as_right))))
+    rows = rows.select("bucket", "cell", "node", "component", (F.col("out") & (F.col("x") == F.col("cell.p"))).alias("left"), (F.col("y") == F.col("cell.q")).alias("right")).join(texts, "node")
+    rows = rows.select(F.xxhash64("bucket", "cell").alias("g"), "node", "component", "left", "right", "text")
+
+    def compare(t):
+        h, doc = shingles(*word_hashes(*text_buffers(t.column("text"))), size)
+        count = np.bincount(doc, minlength=t.num_rows)
+        h, doc, n = _weights(h, doc)
+        copy = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        element, owner = mix64(np.repeat(h, n) + copy.astype(np.uint64) * _GAMMA), np.repeat(doc, n)
+        node, component = (t.column(c).to_numpy() for c in ("node", "component"))
+        left, right = (np.flatnonzero(t.column(c).to_numpy(zero_copy_only=False)) for c in ("left", "right"))
+        common = overlaps(element, owner, left, right)
+        every = count[left][:, None] + count[right][None] - common
+        j = common / np.maximum(every, 1)
+        i, k = np.nonzero((j >= threshold) & (component[left][:, None] != component[right][None]))
+        a, b = node[left[i]], node[right[k]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "j": j[i, k]})
+
+    return rows.groupBy("g").applyInArrow(compare, "a long, b long, j double").distinct()
+
+
+def _split(large: DataFrame, texts: DataFrame, threshold: float, size: int, gain: int = 4) -> tuple[DataFrame, DataFrame]:
+    """The buckets (bucket, node, n) of texts that share one of their first shingles, but for those of one component; and the rows of large whose
+    buckets it's no use to split, as that would leave more than one in gain of the pairs. large: bucket, node, n, pivot, component, out, outs."""
+    pairs = large.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    split = _meetings(pairs, texts, size, lambda *sets: prefix(*sets, threshold), ("elements array<long>", pa.list_(pa.int64())))
+    sub = split.select("a", F.col("b").alias("node"), F.explode("elements").alias("e")).select("a", F.xxhash64("a", "e").alias("bucket"), "node").distinct()
+    sub = checkpointed(sub.join(large.select("node", "n", "component").distinct(), "node"))
+    several = sub.groupBy("a", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).cast("double").alias("size")).where("low <> high")
+    several = checkpointed(several.select("a", "bucket", "size"))
+    after = several.groupBy("a").agg(F.sum(F.col("size") * F.col("size")).alias("after"))
+    before = large.groupBy(F.col("pivot").alias("a")).agg(F.sum(F.col("outs").cast("double")).alias("before"))  # outsiders times members
+    useless = checkpointed(before.join(after, "a").where(F.col("after") * gain > F.col("before")).select(F.col("a").alias("pivot")))
+    several = several.join(useless, F.col("a") == F.col("pivot"), "left_anti").select("bucket")
+    return checkpointed(sub.drop("component", "a").join(several, "bucket")), large.join(useless, "pivot", "left_semi").select(*large.columns)
+
+
+def _links(cand: DataFrame, texts: DataFrame, threshold: float, size: int, outsiders: int, rounds: int, paired: int = 8) -> DataFrame:
+    """(node, component) of the classes that links between members of a bucket make. cand: bucket, node, n, checkpointed. paired: outsiders of
+    a bucket that are compared pair by pair rather than in blocks, at most."""
     near = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9  # noqa: E731  # no overlap can do more
     tested, part = None, None
 
-    def test(pairs: DataFrame) -> None:
-        """Compares new pairs and links them."""
-        nonlocal tested, part
+    def test(pairs: DataFrame) -> DataFrame:
+        """Compares new pairs; with their similarities."""
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        new = checkpointed(similarities(checkpointed(pairs), texts, size))
+        return checkpointed(similarities(checkpointed(pairs), texts, size))
+
+    def link(new: DataFrame) -> None:
+        nonlocal tested, part
         linked = new.where(F.col("j") >= threshold).limit(1).count() > 0
         tested = new if tested is None else tested.unionByName(new)
         if linked or part is None:
@@ -194,7 +278,7 @@ def _links(cand: DataFrame, texts: DataFrame, threshold: float, size: int, outsi
         order = F.struct(F.xxhash64("node", F.lit(number)).alias("h"), "node", "n")
         pivots = cand.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
         cand = checkpointed(cand.join(pivots, "bucket"))
-        test(cand.where((F.col("node") != F.col("pivot")) & near(F.col("n"), F.col("pivot_n"))).select(*pair(F.col("node"), F.col("pivot"))))
+        link(test(cand.where((F.col("node") != F.col("pivot")) & near(F.col("n"), F.col("pivot_n"))).select(*pair(F.col("node"), F.col("pivot")))))
 
         own = cand.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
         home = own.where("node = pivot").select("bucket", F.col("component").alias("home"))
@@ -202,7 +286,13 @@ def _links(cand: DataFrame, texts: DataFrame, threshold: float, size: int, outsi
         mixed = own.join(home, "bucket").withColumn("out", F.col("component") != F.col("home"))
         open_ = mixed.groupBy("bucket").agg(F.count_if("out").alias("outs")).where("outs > 0")
         open_ = checkpointed(mixed.join(open_, "bucket").select("bucket", "node", "n", "pivot", "component", "out", "outs"))
-        direct = open_.where(F.col("outs") <= outsiders) if number < rounds else open_
+        large = open_.where(F.col("outs") > outsiders) if number < rounds else open_.limit(0)
+        wide = open_.where((F.col("outs") > paired) & (F.col("outs") <= outsiders)) if number < rounds else open_.where(F.col("outs") > paired)
+        cand = None
+        if large.limit(1).count():
+            cand, whole = _split(large, texts, threshold, size)
+            wide = wide.unionByName(whole)
+        direct = open_.where(F.col("outs") <= min(paired, outsiders) if number < rounds else F.col("outs") <= paired)
         direct = direct.join(seen.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "j"), ["pivot", "node"], "left")
         x, y = direct.where("out").alias("x"), direct.where("node <> pivot").alias("y")
         far = F.abs(F.col("x.j") - F.col("y.j")) > 1 - threshold + 1e-9
@@ -210,18 +300,12 @@ def _links(cand: DataFrame, texts: DataFrame, threshold: float, size: int, outsi
             (F.col("x.component") != F.col("y.component")) & (~F.col("y.out") | (F.col("x.node") < F.col("y.node"))) & near(F.col("x.n"), F.col("y.n")) & ~F.coalesce(far, F.lit(False))
         )
         more = checkpointed(more.select(*pair(F.col("x.node"), F.col("y.node"))).distinct())
-        if more.limit(1).count():
-            test(more)
-        large = open_.where(F.col("outs") > outsiders) if number < rounds else open_.limit(0)
-        if not large.limit(1).count():
-            break
-        firsts = lambda *sets: prefix(*sets, threshold)
-        split = _meetings(large.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), texts, size, firsts, ("elements array<long>", pa.list_(pa.int64())))
-        sub = split.select("a", F.col("b").alias("node"), F.explode("elements").alias("e")).select(F.xxhash64("a", "e").alias("bucket"), "node").distinct()
-        sub = checkpointed(sub.join(large.select("node", "n", "component").distinct(), "node"))
-        several = sub.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-        cand = checkpointed(sub.drop("component").join(several, "bucket"))
-        if not cand.limit(1).count():
+        found = [test(more)] if more.limit(1).count() else []
+        if wide.limit(1).count():
+            found.append(checkpointed(_blocks(wide.select("bucket", "node", "n", "component", "out"), texts, threshold, size)))
+        if found:
+            link(reduce(DataFrame.unionByName, found))
+        if cand is None or not cand.limit(1).count():
             break
     return part
 

@@ -1,5 +1,6 @@
 """The operators against plain versions, and on nulls, empty texts, ties, repeated rows, empty tables and clashing columns."""
 
+import collections
 import random
 import re
 import zlib
@@ -267,6 +268,54 @@ def test_pages_with_much_in_common(spark, outsiders, monkeypatch):
     assert outsiders == 64 or sum(compared) < 2500 < len(table) ** 2 / 4
 
 
+def edited(n, rng, share):
+    """n texts that each change that share of the words of one text, from the least to the most."""
+    base = [f"w{rng.randrange(10**9)}" for _ in range(150)]
+    return [(i, " ".join(x if rng.random() > share[0] + (share[1] - share[0]) * i / n else f"w{rng.randrange(10**9)}" for x in base)) for i in range(n)]
+
+
+@pytest.mark.parametrize("outsiders", [20, 1000])
+def test_edits_of_one_text_cost_no_pairs_of_texts(spark, outsiders, monkeypatch):
+    """Most texts share buckets and few are near: what is compared text by text must not grow with the square of the family."""
+    rng = random.Random(11)
+    table = edited(240, rng, (0.005, 0.06))
+    compared, plain = [], minhash.similarities
+
+    def counting(pairs, texts, size):
+        compared.append(pairs.count())
+        return plain(pairs, texts, size)
+
+    monkeypatch.setattr(minhash, "similarities", counting)
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    want = brute.near_classes(table)
+    assert 10 < len(set(want.values())) < 230
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df, outsiders=outsiders).collect()} == want
+    assert sum(compared) < 20 * len(table)
+    compared.clear()
+    assert {r.doc_id for r in minhash.drop_near(df, outsiders=outsiders).collect()} == set(want.values())
+    assert sum(compared) < 20 * len(table)
+
+
+def test_blocks_of_any_size_find_all_links(spark):
+    rng = random.Random(12)
+    texts = edited(60, rng, (0.0, 0.08)) + [(60, ""), (61, "one"), (62, "one")] + [(63 + i, "a b c " * i) for i in range(9, 12)]
+    component = {i: i % 7 for i, _ in texts}
+    out = {i: i % 3 > 0 for i, _ in texts}
+    sets = {i: collections.Counter(tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4)) if t.split()) for i, t in texts}
+    want = {}
+    for x in sets:
+        for y in sets:
+            every = sum((sets[x] | sets[y]).values())
+            if out[x] and x != y and component[x] != component[y] and every and sum((sets[x] & sets[y]).values()) / every >= 0.8:
+                want[min(x, y), max(x, y)] = sum((sets[x] & sets[y]).values()) / every
+    rows = spark.createDataFrame([(b, i, sum(sets[i].values()), component[i], out[i]) for b in (1, 2) for i in sets], "bucket long, node long, n long, component long, out boolean")
+    bodies = spark.createDataFrame(texts, "node long, text string")
+    assert len(want) > 20
+    for most in (1500, 500_000):
+        found = minhash._blocks(rows, bodies, 0.8, 5, most).collect()
+        assert len(found) == len(want) and {(r.a, r.b): r.j for r in found} == want
+
+
 def test_prefixes_meet():
     rng = np.random.default_rng(2)
     for _ in range(200):
