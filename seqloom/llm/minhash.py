@@ -175,7 +175,7 @@ def similarities(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return _meetings(pairs, texts, size, similarity, ("j double", pa.float64()))
 
 
-def overlaps(element: np.ndarray, owner: np.ndarray, left: np.ndarray, right: np.ndarray, rare: int = 8, columns: int = 4096) -> np.ndarray:
+def overlaps(element: np.ndarray, owner: np.ndarray, left: np.ndarray, right: np.ndarray, rare: int = 8, columns: int = 1024) -> np.ndarray:
     """left x right: how many elements two texts share. element, owner: the distinct (element, text); left, right: numbers of texts."""
     docs = int(max(owner.max(initial=-1), left.max(initial=-1), right.max(initial=-1))) + 1
     row, col = np.full(docs, -1), np.full(docs, -1)
@@ -206,7 +206,7 @@ def overlaps(element: np.ndarray, owner: np.ndarray, left: np.ndarray, right: np
     return common
 
 
-def _blocks(buckets: DataFrame, texts: DataFrame, threshold: float, size: int, most: int = 500_000) -> DataFrame:
+def _blocks(buckets: DataFrame, texts: DataFrame, threshold: float, size: int, most: int = 750_000) -> DataFrame:
     """(a, b, j) of similarity threshold between the outsiders of a bucket and its members of other components. buckets: bucket, node, n, component,
     out. Both are cut into blocks of about most shingles, where a text counts as 400 more; a text goes once to each pair of blocks that it is part of."""
     cut = lambda n: F.greatest(F.lit(1), F.ceil(F.coalesce(n, F.lit(0)) / most)).cast("long")

@@ -316,6 +316,19 @@ def test_blocks_of_any_size_find_all_links(spark):
         assert len(found) == len(want) and {(r.a, r.b): r.j for r in found} == want
 
 
+def test_overlaps_of_rare_and_frequent_elements():
+    rng = np.random.default_rng(4)
+    for held, columns in ((0.02, 4096), (0.5, 7), (0.5, 4096), (1.0, 1)):
+        there = rng.random((40, 300)) < held
+        owner, element = np.nonzero(there)
+        left, right = rng.permutation(40)[:25], rng.permutation(40)[:31]
+        want = (there[left].astype(int) @ there[right].T) * (left[:, None] != right[None])
+        assert (minhash.overlaps(element.astype(np.uint64), owner, left, right, columns=columns) == want).all()
+    none = np.zeros(0, np.int64)
+    assert minhash.overlaps(none.astype(np.uint64), none, np.array([0]), np.array([0, 1])).tolist() == [[0, 0]]
+    assert minhash.overlaps(none.astype(np.uint64), none, none, none).shape == (0, 0)
+
+
 def test_prefixes_meet():
     rng = np.random.default_rng(2)
     for _ in range(200):
