@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -157,11 +160,39 @@ def agglomerative(points: np.ndarray, k: int, balance: float = 0.0) -> np.ndarra
     return out
 
 
+def quantiles(df: DataFrame, column: str, shares: list[float], most: int = 10_000) -> list[float]:
+    """The least values that at least these shares of the column's values don't exceed; none for a column without values. Approximate ones narrow the range
+    of each, round by round, by counts of what is below them, until it has most values at most; those are sorted on the driver."""
+    rows = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
+    n, found = rows.count(), []
+    for share in shares if n else []:
+        rank, below, size, inside = max(1, math.ceil(Fraction(share).limit_denominator(10**9) * n)), 0, n, rows
+        while size > most:
+            near = [min(1.0, max(0.0, (rank - below) / size + d)) for d in (-1e-3, 1e-3)]
+            a, b = inside.agg(F.percentile_approx("x", near, 10_000)).first()[0]
+            x = F.col("x")
+            less_a, to_a, less_b, to_b = (below + c for c in inside.agg(*(F.count_if(c) for c in (x < a, x <= a, x < b, x <= b))).first())
+            if less_a < rank <= to_a or less_b < rank <= to_b:
+                found.append(a if rank <= to_a else b)
+                break
+            if rank <= less_a:
+                inside, size = inside.where(x < a), less_a - below
+            elif rank <= less_b:
+                inside, below, size = inside.where((x > a) & (x < b)), to_a, less_b - to_a
+            else:
+                inside, below, size = inside.where(x > b), to_b, below + size - to_b
+        else:
+            found.append(inside.orderBy("x").collect()[rank - below - 1][0])
+    return found
+
+
 def gaussian_mixture(df: DataFrame, column: str, k: int, rounds: int = 30, least_variance: float = 1e-6) -> list[tuple[float, float, float]]:
-    """Expectation-maximisation of one column: (weight, mean, variance) by rising mean. One aggregation a round."""
+    """Expectation-maximisation of one column: (weight, mean, variance) by rising mean, from its quantiles. One aggregation a round."""
     x = F.col(column).cast("double")
-    qs = df.agg(F.percentile_approx(x, [(i + 0.5) / k for i in range(k)]), F.var_pop(x)).first()
-    parts = [(1.0 / k, m, max(qs[1] or 1.0, least_variance)) for m in qs[0]]
+    spread = df.agg(F.var_pop(x)).first()[0]
+    parts = [(1.0 / k, m, max(spread or 1.0, least_variance)) for m in quantiles(df, column, [(i + 0.5) / k for i in range(k)])]
+    if not parts:
+        return []
     for _ in range(rounds):
         dens = [F.lit(w) * F.exp(-(x - m) * (x - m) / (2 * v)) / (v**0.5) for w, m, v in parts]
         total = sum(dens[1:], dens[0])

@@ -255,6 +255,31 @@ def test_clusters(spark):
     assert clusters.self_organising_map(x, 3, 1).shape == (3, 1, 1)
 
 
+@pytest.mark.parametrize("kind", ["spread", "ties", "two"])
+def test_quantiles_are_values_at_their_rank(spark, kind):
+    rng = np.random.default_rng(6)
+    x = {"spread": rng.normal(size=30_000), "ties": rng.integers(0, 40, 30_000) / 8, "two": np.concatenate([np.zeros(9_000), np.ones(9_000), rng.random(300)])}[kind]
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    shares = [0.0, 0.25, 1 / 3, 0.4999, 0.75, 0.99995, 1.0]
+    want = [float(np.sort(x)[max(1, math.ceil(round(s * len(x), 6))) - 1]) for s in shares]
+    for most in (20, 10_000):
+        assert clusters.quantiles(df, "x", shares, most) == want
+    assert clusters.quantiles(df.where("x > 1e9"), "x", shares) == [] == clusters.gaussian_mixture(df.where("x > 1e9"), "x", 2)
+
+
+def test_mixture_rounds_of_more_rows(spark):
+    """Enough rows that approximate quantiles miss the SQL's start."""
+    import duckdb
+
+    from seqloom.plans import catalog
+
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    got = sorted(map(tuple, catalog.QUERIES["mixture_rounds"](spark, folder).collect()))
+    assert got == sorted(con.execute(catalog.ORACLES["mixture_rounds"]).fetchall())
+
+
 def test_graphs(spark):
     edges = [(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (4, 5), (3, 5)]
     _, load = graphs.betweenness(6, edges)
