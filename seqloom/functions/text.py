@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,6 +57,7 @@ STOP_WORDS = sorted(
 )
 
 _VOWELS = set("aeiou")
+_SHAPE = str.maketrans({c: "v" if c in _VOWELS else "c" for c in "abcdefghijklmnopqrstuvwxyz"})
 
 
 def _consonant(w: str, i: int) -> bool:
@@ -62,8 +65,9 @@ def _consonant(w: str, i: int) -> bool:
 
 
 def _measure(w: str) -> int:
-    shape = "".join("c" if _consonant(w, i) else "v" for i in range(len(w)))
-    return sum(1 for a, b in zip(shape, shape[1:], strict=False) if a == "v" and b == "c")
+    plain = "y" not in w and w.isascii() and w.isalpha()
+    shape = w.translate(_SHAPE) if plain else "".join("c" if _consonant(w, i) else "v" for i in range(len(w)))
+    return shape.count("vc")
 
 
 def _cvc(w: str) -> bool:
@@ -74,6 +78,9 @@ def _cvc(w: str) -> bool:
 _STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("logi", "log")]
 _STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
 _STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
+# the longest ending first
+_STEP2, _STEP3 = (sorted(table, key=lambda x: -len(x[0])) for table in (_STEP2, _STEP3))
+_STEP4 = sorted(_STEP4, key=len, reverse=True)
 
 
 def porter_stem(word: str) -> str:
@@ -102,12 +109,12 @@ def porter_stem(word: str) -> str:
     if w.endswith("y") and has_vowel(w[:-1]):
         w = w[:-1] + "i"
     for table in (_STEP2, _STEP3):
-        for end, new in sorted(table, key=lambda x: -len(x[0])):
+        for end, new in table:
             if w.endswith(end):
                 if _measure(w[: -len(end)]) > 0:
                     w = w[: -len(end)] + new
                 break
-    for end in sorted(_STEP4, key=len, reverse=True):
+    for end in _STEP4:
         if w.endswith(end):
             stem = w[: -len(end)]
             if _measure(stem) > 1 and (end != "ion" or stem.endswith(("s", "t"))):
@@ -121,9 +128,13 @@ def porter_stem(word: str) -> str:
 
 
 @F.pandas_udf(StringType())
-def stem(words: pd.Series) -> pd.Series:
-    known = {w: porter_stem(w) for w in words.dropna().unique()}
-    return words.map(known)
+def stem(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    known: dict[str, str] = {}
+    for words in batches:
+        if len(known) > 300_000:
+            known.clear()
+        known.update((w, porter_stem(w)) for w in words.dropna().unique() if w not in known)
+        yield words.map(known.get, na_action="ignore")
 
 
 def wrapped(text: Column, width: int) -> Column:

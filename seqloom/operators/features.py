@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.text import STOP_WORDS, letters_tokens, porter_stem, stem
 from seqloom.operators.aggregate import ranges
 from seqloom.operators.table import with_order
+from seqloom.session import checkpointed, few, stored
 
 
 @dataclass(frozen=True)
@@ -103,23 +104,38 @@ def noise_like(df: DataFrame, columns: dict[str, tuple[float, float]], seed: int
     return df.withColumns({c: m + d * F.randn(seed + i) for i, (c, (m, d)) in enumerate(columns.items())})
 
 
+def _term_counts(docs: DataFrame, id_col: str, text: str, stemming: bool, least_length: int) -> DataFrame:
+    """id, term, tf, stored: texts are read once, and words are stemmed where they lie."""
+    words = docs.select(id_col, F.explode(F.transform(letters_tokens(F.col(text)), F.lower)).alias("term")).where(F.length("term") >= least_length)
+    if stemming:
+        words = words.withColumn("term", stem("term"))
+    words = words.where(~F.col("term").isin([porter_stem(w) for w in STOP_WORDS] if stemming else STOP_WORDS))
+    return stored(words.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+
+
+def _of_term(counts: DataFrame, terms: DataFrame, size: int) -> DataFrame:
+    """counts with what terms, checkpointed, hold of each term; a large vocabulary is hashed in parts, so that counts aren't sorted."""
+    return counts.join(few(terms.hint("shuffle_hash"), F.lit(size)), "term")
+
+
+def _weight(docs: DataFrame, id_col: str, binary: bool):
+    if binary:
+        return F.lit(1.0)
+    return F.col("tf") * F.log(F.lit(float(docs.select(id_col).distinct().count())) / F.col("df")) / F.col("most")
+
+
 def term_weights(docs: DataFrame, id_col: str, text: str, stemming: bool = True, least_length: int = 4, binary: bool = False) -> DataFrame:
     """id, term, tf, weight: tf * ln(documents / df) / the largest tf of the term (or 1 if binary), of lower-case letter runs of least_length or more that aren't
     stop words, stemmed."""
-    words = docs.select(id_col, F.explode(F.transform(letters_tokens(F.col(text)), F.lower)).alias("term")).where(F.length("term") >= least_length)
-    counts = words.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    if stemming:
-        stops = [porter_stem(w) for w in STOP_WORDS]
-        counts = counts.withColumn("term", stem("term")).groupBy(id_col, "term").agg(F.sum("tf").alias("tf")).where(~F.col("term").isin(stops))
-    else:
-        counts = counts.where(~F.col("term").isin(STOP_WORDS))
-    n = docs.select(id_col).distinct().count()
-    terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("most"))
-    weight = F.lit(1.0) if binary else F.col("tf") * F.log(F.lit(float(n)) / F.col("df")) / F.col("most")
-    return counts.join(terms, "term").select(id_col, "term", "tf", weight.alias("weight"))
-
-
-def term_matrix(weights: DataFrame, id_col: str) -> DataFrame:
-    """row (id), col (number of the term in alphabetical order), val. The vocabulary is numbered in sorted ranges."""
-    vocabulary = with_order(weights.select("term").distinct(), "term").withColumnRenamed("_ord", "col")
-    return weights.join(vocabulary, "term").select(F.col(id_col).alias("row"), "col", F.col("weight").alias("val"))
+    counts = _term_counts(docs, id_col, text, stemming, least_length)
+    if not binary:
+        counts = _of_term(counts, checkpointed(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("most"))), 3)
+    return counts.select(id_col, "term", "tf", _weight(docs, id_col, binary).alias("weight"))
+
+
+def term_matrix(docs: DataFrame, id_col: str, text: str, stemming: bool = True, least_length: int = 4, binary: bool = False) -> DataFrame:
+    """row (id), col (number of the term in alphabetical order), val (weight) of term_weights. The vocabulary is numbered in sorted ranges and met once."""
+    counts = _term_counts(docs, id_col, text, stemming, least_length)
+    terms = counts.groupBy("term").agg(*([] if binary else [F.count(F.lit(1)).alias("df")]), F.max("tf").alias("most"))
+    terms = checkpointed(with_order(checkpointed(terms), "term").withColumnRenamed("_ord", "col"))
+    return _of_term(counts, terms, 4).select(F.col(id_col).alias("row"), "col", _weight(docs, id_col, binary).alias("val"))

@@ -223,6 +223,31 @@ def test_components_and_alignment(spark):
     assert matrix.count_components(df, ["a0", "a1", "a2"], 0.1) == 2
 
 
+@pytest.mark.parametrize("small", [0, 1_000_000])
+def test_terms_are_counted_once_and_numbered_by_stem(spark, monkeypatch, small):
+    from seqloom import session
+
+    monkeypatch.setattr(session, "SMALL", small)  # with and without broadcasts
+    docs = spark.createDataFrame([(1, "Running runner runs; running! Being THERE"), (2, "runs walked walks"), (None, None), (3, "walking, runs into")], "doc_id long, text string")
+    words = {1: ["running", "runner", "runs", "running"], 2: ["runs", "walked", "walks"], 3: ["walking", "runs"]}
+    counts = {}
+    for d, ws in words.items():
+        for w in ws:
+            counts[d, text.porter_stem(w)] = counts.get((d, text.porter_stem(w)), 0) + 1
+    terms = sorted({t for _, t in counts})
+    df = {t: sum(1 for _, x in counts if x == t) for t in terms}
+    most = {t: max(n for (_, x), n in counts.items() if x == t) for t in terms}
+    want = {(d, t): n * math.log(4 / df[t]) / most[t] for (d, t), n in counts.items()}  # a null id is a document too
+    got = features.term_weights(docs, "doc_id", "text").collect()
+    assert {(r.doc_id, r.term): r.weight for r in got} == pytest.approx({k: n * math.log(4 / df[k[1]]) / most[k[1]] for k, n in counts.items()}) and len(got) == len(want)
+    rows = features.term_matrix(docs, "doc_id", "text").collect()
+    assert {(r["row"], terms[r["col"]]): r["val"] for r in rows} == pytest.approx(want) and len(rows) == len(want)
+    ones = features.term_matrix(docs, "doc_id", "text", stemming=False, binary=True)
+    assert {(r["row"], r["col"], r["val"]) for r in ones.collect()} == {(d, sorted({x for v in words.values() for x in v}).index(w), 1.0) for d, ws in words.items() for w in ws}
+    plan = ones._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "regexp" not in plan  # texts aren't read again
+
+
 # neighbours, clusters, graphs --------------------------------------------------------------------------------------------------
 
 
