@@ -266,6 +266,36 @@ def test_neighbors(spark, block):
     assert neighbors.scaled_by_local_mean(edges).count() == 360
 
 
+def test_neighbors_hold_no_more_for_larger_batches():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(20_000, 8)), 1) + 100.0  # ties, and far from the origin
+    ids, own = np.arange(20_000), np.arange(0, 20_000, 20)
+    for of, bound in ((neighbors._nearest_of, 4), (neighbors._within_of, 2.25), (neighbors._count_of, 2.25)):
+        peaks, out = [], []
+        for n in (5_000, 20_000):
+            batch = pa.RecordBatch.from_arrays([pa.array(ids[:n]), pa.array(list(x[:n]))], names=["i", "v"])
+            tracemalloc.start()
+            out = [[b.column(c).to_numpy() for c in range(b.num_columns)] for b in of([batch], own, x[own], bound, True) if n == 20_000 or b is None]
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+        assert peaks[1] < 60e6, of.__name__  # one estimate of every pair alone takes 160 MB
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+        for q in own[:5]:
+            d = ((x - x[q]) ** 2).sum(1)
+            d[q] = np.inf
+            mine = cols[0] == q
+            if of is neighbors._nearest_of:
+                assert cols[1][mine].tolist() == sorted(ids, key=lambda j: (d[j], j))[:4]
+            elif of is neighbors._within_of:
+                assert sorted(cols[1][mine]) == np.flatnonzero(d <= 2.25).tolist()
+            else:
+                assert cols[1][mine].sum() == (d <= 2.25).sum()
+
+
 def test_clusters(spark):
     df = generate.clustered_gauss_points(spark, 2000, 2, 5, 0.01, seed=3)
     centres, loss = clusters.kmeans(df, "point", 5, "id", seed=1, restarts=3)
