@@ -394,6 +394,35 @@ def test_recognition_searches_all_but_itself(spark, monkeypatch):
     assert sequences.recognise(df.limit(0), df, 3).count() == 0
 
 
+@pytest.mark.parametrize("gap", [0.05, 4.7])
+def test_recognition_by_definition(spark, gap):
+    rng = np.random.default_rng(8)
+    seqs = [rng.normal(size=(int(n), 3)).round(1) for n in rng.integers(0, 12, 60)]
+    seqs += seqs[:30]  # ties
+    seqs[7] = seqs[7] * 0
+    rows = [(i, "abc"[i % 3], p.tolist()) for i, p in enumerate(seqs)]
+    df = spark.createDataFrame(rows, "seq_id long, label string, points array<array<double>>")
+    want = {}
+    for q in range(0, 90, 6):
+        score = {i: sequences.local_alignment(seqs[q], p, gap) for i, p in enumerate(seqs) if i != q}
+        best = sorted(score, key=lambda i: (-round(score[i], 9), i))[:4]
+        labels = [rows[i][1] for i in best]
+        want[q] = min(set(labels), key=lambda x: (-labels.count(x), x))
+    got = {r["query"]: r.prediction for r in sequences.recognise(df.where("seq_id % 6 = 0"), df, 4, gap).collect()}
+    assert got == want
+
+
+def test_recognition_of_many_pairs(spark):
+    import time
+
+    rng = np.random.default_rng(9)
+    rows = [(i, "ab"[i % 2], rng.exponential(size=(60, 3)).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "seq_id long, label string, points array<array<double>>").repartition(4)
+    began = time.time()
+    assert sequences.recognise(df.where("seq_id % 20 = 0"), df, 3).count() == 75
+    assert time.time() - began < 60  # one pair at a time takes minutes
+
+
 def test_hidden_markov_model(spark):
     from itertools import product
 
