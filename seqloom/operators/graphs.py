@@ -9,20 +9,24 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.session import checkpointed
+from seqloom.session import SMALL, checkpointed, stored
 
 
 def shortest_paths(edges: DataFrame, origin: int, most_rounds: int = 10_000) -> DataFrame:
-    """node, cost, previous from origin over edges (src, dst, cost >= 0). Each round relaxes all edges out of what changed."""
+    """node, cost, previous from origin over edges (src, dst, cost >= 0). Each round relaxes all edges out of what changed; edges are made once, and shuffled
+    only in rounds where more has changed than is broadcast."""
     spark = edges.sparkSession
-    best = spark.createDataFrame([(origin, 0.0, None)], "node long, cost double, previous long")
-    front = best
+    edges = stored(edges.select(F.col("src").alias("previous"), F.col("dst").alias("node"), F.col("cost").alias("_step")))
+    best = front = spark.createDataFrame([(origin, 0.0, None)], "node long, cost double, previous long")
+    n = 1
     for _ in range(most_rounds):
-        step = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (front["cost"] + edges["cost"]).alias("cost"), F.col("src").alias("previous"))
+        out = front.select(F.col("node").alias("previous"), F.col("cost").alias("_far"))
+        step = edges.join(F.broadcast(out) if 2 * n <= SMALL else out, "previous").select("node", (F.col("_far") + F.col("_step")).alias("cost"), "previous")
         step = step.groupBy("node").agg(F.min(F.struct("cost", "previous")).alias("b")).select("node", "b.*")
         old = best.select("node", F.col("cost").alias("old"))
         front = checkpointed(step.join(old, "node", "left").where(F.col("old").isNull() | (F.col("cost") < F.col("old"))).drop("old"))
-        if front.limit(1).count() == 0:
+        n = front.count()
+        if n == 0:
             return best
         best = checkpointed(best.join(front.select("node"), "node", "left_anti").unionByName(front))
     raise ValueError("no end within the rounds allowed")

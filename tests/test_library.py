@@ -359,6 +359,27 @@ def test_graphs(spark):
         assert abs(np.corrcoef(y, t)[0, 1]) > 0.99
 
 
+@pytest.mark.parametrize("small", [0, 1_000_000])
+def test_shortest_paths_make_their_edges_once(spark, monkeypatch, small):
+    monkeypatch.setattr(graphs, "SMALL", small)  # with and without broadcasts
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def cost(a, b):
+        made.add(1)
+        return float((a * 7 + b * 3) % 11) / 4
+
+    rng = np.random.default_rng(4)
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 40, size=(120, 2)) if a != b})
+    df = spark.createDataFrame(pairs, "src long, dst long").withColumn("cost", cost("src", "dst"))
+    got = {r.node: (r.cost, r.previous) for r in graphs.shortest_paths(df, 3).collect()}
+    price = {(a, b): float((a * 7 + b * 3) % 11) / 4 for a, b in pairs}
+    want, _ = graphs.dijkstra(40, [(a, b, c) for (a, b), c in price.items()], 3)
+    assert {n: c for n, (c, _) in got.items()} == {i: c for i, c in enumerate(want) if c < np.inf}
+    assert all(p is None if n == 3 else c == got[p][0] + price[p, n] for n, (c, p) in got.items())
+    assert made.value == len(pairs)
+
+
 # sequences -------------------------------------------------------------------------------------------------------------------
 
 
