@@ -187,6 +187,22 @@ def test_statistics(spark):
     assert aggregate.wilcoxon(w, "a", "b").first() == (4, 3.0)
 
 
+def test_medians_of_long_columns(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=4001), np.full(300, 1e300), np.full(299, -1e300)])
+    rows = [(float(v), float(i % 3) if i % 5 else None, None, int(i)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "x double, few double, none double, whole long").repartition(6)
+    got = {r.name: r for r in aggregate.column_stats(df, ["x", "few", "none", "whole"], 12).collect()}
+    assert got["x"].med == round(float(np.median(x)), 12) and got["whole"].med == 2299.5 and got["whole"].n == 4600
+    assert got["few"].med == 1.0 and got["few"].missing == 920 and got["none"].med is None and got["none"].n == 0
+    sketches, n = [[5.0, 6.0], [0.0, 0.0]], [4600, 3680]  # beside the medians
+    assert aggregate.medians(df, ["x", "few"], sketches, n) == [float(np.median(x)), 1.0]
+    assert "percentile(" not in aggregate.column_stats(df, ["x"])._jdf.queryExecution().toString()  # which sends all values to one task
+    assert [r.med for r in aggregate.column_stats(df.where("whole < 0"), ["x", "few"]).collect()] == [None, None]
+    odd = spark.createDataFrame([(1.0,), (float("nan"),), (2.0,)], "x double")
+    assert aggregate.column_stats(odd, ["x"]).first().med == 2.0
+
+
 # matrices --------------------------------------------------------------------------------------------------------------------
 
 
